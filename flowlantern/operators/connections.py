@@ -62,15 +62,14 @@ def udp_sessions(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     return connections(df, "UDP", th)
 
 
-def latest(df: DataFrame, ts: str = "ts_us") -> DataFrame:
-    """One row ``as_of``: the newest time in the input, the default "now" of every report."""
-    return df.agg(F.max(ts).alias("as_of"))
+def latest(df: DataFrame, ts: str = "ts_us") -> Column:
+    """The newest time in the input, the default "now" of every report, as a scalar subquery."""
+    return df.agg(F.max(ts)).scalar()
 
 
 def connection_stats(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Counts over the connections alive at the newest packet, and the number of TCP connections already expired."""
-    now = F.broadcast(latest(df))
-    tcp = tcp_connections(df, th).join(now)
+    tcp = tcp_connections(df, th).withColumn("as_of", latest(df))
     alive = F.col("last_us") >= F.col("as_of") - th.connection_idle_us
     age = (F.col("as_of") - F.col("start_us")) / SECOND
     tcp_row = tcp.agg(
@@ -81,14 +80,14 @@ def connection_stats(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
         F.coalesce(net.round6(F.avg(F.when(alive, age))), F.lit(0.0)).alias("avg_duration"),
         F.count_if(~alive).alias("expired_tcp"),
     )
-    udp_row = udp_sessions(df, th).join(now).agg(
+    udp_row = udp_sessions(df, th).withColumn("as_of", latest(df)).agg(
+        F.struct(
         F.count_if(alive).alias("udp_sessions"),
         F.coalesce(net.round6(F.avg(F.when(alive, F.col("packet_count")))), F.lit(0.0))
-        .alias("avg_packets_per_session"),
-    )
-    return tcp_row.join(F.broadcast(udp_row)).select(
-        "tcp_connections", "established", "connecting", "closing", "avg_duration", "udp_sessions",
-        "avg_packets_per_session", F.col("expired_tcp").alias("history_size"),
+        .alias("avg_packets_per_session")))
+    return tcp_row.withColumn("udp", udp_row.scalar()).select(
+        "tcp_connections", "established", "connecting", "closing", "avg_duration", "udp.udp_sessions",
+        "udp.avg_packets_per_session", F.col("expired_tcp").alias("history_size"),
     )
 
 
@@ -97,8 +96,7 @@ def active_connections(df: DataFrame, th: Thresholds = DEFAULTS, limit: int | No
     both = tcp_connections(df, th).drop("flags_seen").unionByName(
         udp_sessions(df, th).withColumn("state", F.lit("ACTIVE"))
     )
-    out = both.join(F.broadcast(latest(df))).where(F.col("last_us") >= F.col("as_of") - th.connection_idle_us)
-    out = out.drop("as_of")
+    out = both.where(F.col("last_us") >= latest(df) - th.connection_idle_us)
     if limit is None:
         return out
     return out.orderBy(

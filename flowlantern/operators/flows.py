@@ -20,7 +20,7 @@ from flowlantern.operators.ordered import ordered_scan
 
 _DDL = (
     "pid bigint, ts_us bigint, flow_key string, src_ip string, dst_ip string, src_port int, dst_port int, "
-    "protocol string, packet_size int, flags string, ttl int, label int, flow_pid bigint, iat_us bigint"
+    "protocol string, packet_size int, flags string, label int, flow_pid bigint, iat_us bigint"
 )
 
 
@@ -127,7 +127,7 @@ def flow_packets(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     rows = df.select(
         "pid", "ts_us", net.flow_key().alias("flow_key"),
         "src_ip", "dst_ip", *[net.port_or_zero(F.col(c)).alias(c) for c in ("src_port", "dst_port")],
-        "protocol", "packet_size", "flags", "ttl",
+        "protocol", "packet_size", "flags",
         F.col("label") if "label" in df.columns else F.lit(0).alias("label"),
     )
     rule = FlowRule(th.flow_idle_us, th.flow_active_us, th.flow_max_packets)
@@ -161,7 +161,7 @@ def flow_features(marked: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
         F.sum(F.when(fwd, size).otherwise(0)).alias("src_to_dst_bytes"),
         F.sum(F.when(~fwd, size).otherwise(0)).alias("dst_to_src_bytes"),
         *[F.count_if(tcp & net.has_flag(F.col("flags"), x)).alias(f"tcp_flag_{x}") for x in FLAGS],
-        F.max("ttl").alias("ttl"), F.max("label").alias("label"),
+        F.max("label").alias("label"),
     )
     n, dur = F.col("packet_count"), (F.col("end_us") - F.col("start_us")) / sec
     iat_mean = dur / n  # the list of gaps starts with a 0 for the first packet
@@ -181,7 +181,7 @@ def flow_features(marked: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
         F.lit(0.0).alias("port_scan_indicator"),  # kept for vector parity; see the README
         (F.col("tcp_flag_S") / n).alias("syn_flood_ratio"),
         burst.alias("burstiness"), (1.0 / (1.0 + burst)).alias("regularity"),
-        *[f"tcp_flag_{x}" for x in FLAGS], "ttl", "label",
+        *[f"tcp_flag_{x}" for x in FLAGS], "label",
     )
 
 

@@ -182,11 +182,11 @@ def capture_stats(df: DataFrame, ring: int = RECENT) -> DataFrame:
 
 
 def protocol_distribution(df: DataFrame) -> DataFrame:
-    """Count and share per protocol. The total is one row, joined back to the handful of protocols."""
+    """Count and share per protocol."""
     counts = df.groupBy(F.upper("protocol").alias("protocol")).agg(F.count("*").alias("packets"))
-    total = counts.agg(F.sum("packets").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        "protocol", "packets", net.round6(net.ratio(F.col("packets"), F.col("total"))).alias("share"),
+    total = counts.agg(F.sum("packets")).scalar()
+    return counts.select(
+        "protocol", "packets", net.round6(net.ratio(F.col("packets"), total)).alias("share"),
         F.when(F.col("protocol").isin("TCP", "UDP", "ICMP"), F.col("protocol")).otherwise("Other").alias("chart_bucket"),
     )
 
@@ -229,15 +229,13 @@ def network_stats(df: DataFrame, active_connections: DataFrame) -> DataFrame:
         df.groupBy(F.upper("protocol").alias("p")).agg(F.count("*").alias("n"))
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "n")))).alias("protocol_distribution"))
     )
-    active = active_connections.agg(F.count("*").alias("active_connections"))
-    row = totals
-    for one_row in (dist, top_values(df, "src_ip"), top_values(df, "dst_ip"), active):
-        row = row.join(F.broadcast(one_row))
-    return row.select(
+    return totals.select(
         "ts_us", "total_packets", "bytes_captured",
         net.round6(net.ratio(F.col("total_packets"), F.col("elapsed"))).alias("packets_per_second"),
         net.round6(net.ratio(F.col("bytes_captured"), F.col("elapsed"))).alias("bytes_per_second"),
-        "protocol_distribution", "top_src_ip", "top_dst_ip", "active_connections",
+        dist.scalar().alias("protocol_distribution"),
+        top_values(df, "src_ip").scalar().alias("top_src_ip"), top_values(df, "dst_ip").scalar().alias("top_dst_ip"),
+        active_connections.agg(F.count("*")).scalar().alias("active_connections"),
     )
 
 

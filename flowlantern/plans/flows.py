@@ -105,7 +105,7 @@ f0 AS (SELECT fp AS flow_pid, any_value(flow_key) AS flow_key, any_value(src_ip)
     CAST(sum(CASE WHEN protocol = 'TCP' AND contains(flags, 'R') THEN 1 ELSE 0 END) AS BIGINT) AS tcp_flag_R,
     CAST(sum(CASE WHEN protocol = 'TCP' AND contains(flags, 'P') THEN 1 ELSE 0 END) AS BIGINT) AS tcp_flag_P,
     CAST(sum(CASE WHEN protocol = 'TCP' AND contains(flags, 'U') THEN 1 ELSE 0 END) AS BIGINT) AS tcp_flag_U,
-    max(ttl) AS ttl, max(label) AS label
+    max(label) AS label
   FROM m GROUP BY fp),
 f1 AS (SELECT *, CASE WHEN duration > 0 THEN packet_count / duration ELSE 0 END AS packets_per_second,
     CASE WHEN duration > 0 THEN byte_count / duration ELSE 0 END AS bytes_per_second,
@@ -148,7 +148,7 @@ def flows(spark, d):
 SELECT flow_pid, flow_key, src_ip, dst_ip, src_port, dst_port, protocol, start_us, end_us, packet_count, byte_count,
   {_r(*DOUBLES)},
   min_packet_size, max_packet_size, src_to_dst_packets, dst_to_src_packets, src_to_dst_bytes, dst_to_src_bytes,
-  is_internal_src, is_internal_dst, is_well_known_port, ttl,
+  is_internal_src, is_internal_dst, is_well_known_port,
   concat_ws(',', CASE WHEN tcp_flag_A > 0 THEN 'A=' || tcp_flag_A END, CASE WHEN tcp_flag_F > 0 THEN 'F=' || tcp_flag_F END,
     CASE WHEN tcp_flag_P > 0 THEN 'P=' || tcp_flag_P END, CASE WHEN tcp_flag_R > 0 THEN 'R=' || tcp_flag_R END,
     CASE WHEN tcp_flag_S > 0 THEN 'S=' || tcp_flag_S END, CASE WHEN tcp_flag_U > 0 THEN 'U=' || tcp_flag_U END) AS tcp_flags_count
