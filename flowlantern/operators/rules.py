@@ -316,10 +316,9 @@ def frame_counts(df: DataFrame, specs: list[_Spec]) -> tuple[DataFrame, DataFram
     ))).alias("_chg")).select("rule", "key", "g", "_chg.*").withColumn("slice", _slice_of("at"))
     # an expiry exactly on a slice start is already missing from that slice's base
     counts = counts.where((F.col("point") == 1) | (F.pmod("at", "g") != 0)).join(hot_keys, k3, "left_semi")
-    counts = counts.groupBy(*k3, "at").agg(
-        F.sum("dn").cast("bigint").alias("dn"), F.lit(0).cast("bigint").alias("dd"), F.max("point").alias("point"))
-    base = hot.select(*k3, (F.col("slice") * F.col("g")).alias("at"), F.col("base").alias("dn"),
-                      F.lit(0).cast("bigint").alias("dd"), zero.alias("point"))
+    counts = counts.withColumn("dd", zero)
+    base = hot.select(*k3, (F.col("slice") * F.col("g")).alias("at"), F.col("base").alias("dn"), zero.alias("dd"),
+                      zero.alias("point"))
 
     # changes of the distinct count, from the pieces near hot slices
     valued = [s.rule.id for s in specs if s.by_distinct or s.rule.conditions.get("tcp_syn_only")
@@ -339,11 +338,12 @@ def frame_counts(df: DataFrame, specs: list[_Spec]) -> tuple[DataFrame, DataFram
         F.struct(gone.alias("at"), _slice_of(gone).alias("slice"), minus.alias("dd"))))
     values = alive.select("rule", "key", F.explode(F.concat(
         begins, later, F.coalesce(ends, F.array().cast("array<struct<at:bigint,slice:bigint,dd:int>>")))).alias("_chg"))
-    values = values.select("rule", "key", "_chg.*").join(hot_keys, k3, "left_semi").groupBy(*k3, "at").agg(
-        F.lit(0).cast("bigint").alias("dn"), F.sum("dd").cast("bigint").alias("dd"), zero.alias("point"))
+    values = values.select("rule", "key", "_chg.*").join(hot_keys, k3, "left_semi").withColumns(
+        {"dn": zero, "point": zero})
 
     cols = [*k3, "at", "dn", "dd", "point"]
     steps = counts.select(*cols).unionByName(base.select(*cols)).unionByName(values.select(*cols))
+    # one aggregation, combined on the map side, leaves one row per microsecond
     steps = steps.groupBy(*k3, "at").agg(F.sum("dn").alias("dn"), F.sum("dd").alias("dd"), F.max("point").alias("point"))
     running = Window.partitionBy(*k3).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     limit = F.create_map(*[F.lit(x) for s in specs for x in (s.rule.id, s.threshold)])

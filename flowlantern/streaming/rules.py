@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
+from itertools import accumulate, groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +22,12 @@ _STATE = "at array<bigint>, n array<bigint>, value array<string>, seen array<big
 
 
 def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 seconds") -> DataFrame:
-    """Behavioural rules. State is kept per (rule, key, slice of at most 10 s), as in batch: a packet goes to its own
-    slice, and tracked packets also to the later slices their frame reaches. So a flooded target is spread over its
-    slices, and state is bounded: counts per microsecond and the last sighting of each value, dropped by the
-    watermark when the slice is over. Matches come out in the batch in which the packet arrives.
+    """Behavioural rules. State is kept per (rule, key, slice as long as the frame): a packet goes to its own slice,
+    and tracked packets also to the next one, which their frame can reach. So state is bounded, counts per microsecond
+    and the last sighting of each value, and is dropped by the watermark when the slice is over. Matches come out in
+    the batch in which the packet arrives.
     """
-    specs = [ru._spec(r) for r in rules if r.pattern_type == "behavioral"]
+    specs = [replace(s, slice_us=s.window_us) for s in (ru._spec(r) for r in rules if r.pattern_type == "behavioral")]
     limits = {s.rule.id: (s.threshold, s.by_distinct, s.window_us, s.slice_us) for s in specs}
     rows = ru._touch_rows(stream.withWatermark("ts", delay), specs, False, ["ts", "pid", "src_ip", "dst_ip"])
     own = ru._slice_of("ts_us")
@@ -32,7 +35,7 @@ def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 second
     rows = rows.withColumn("home", own).withColumn("slice", F.explode(F.sequence(own, last)))
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule, _, slice_no = key
+        rule, slice_no = key[0], int(key[2])
         threshold, distinct, w, g = limits[rule]
         if state.hasTimedOut:
             state.remove()
@@ -40,33 +43,27 @@ def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 second
         at, n, values, seen = ([list(x) for x in state.get] if state.exists else ([], [], [], []))
         last_seen = dict(zip(values, seen))
         out = []
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "pid"])
-        new = pdf[pdf["tracked"]]
-        counts = pd.Series(n, index=at, dtype="int64").add(new.groupby("ts_us").size(), fill_value=0).sort_index()
-        times, running = counts.index.to_numpy(np.int64), np.concatenate(([0], counts.to_numpy(np.int64).cumsum()))
-        order = pdf["ts_us"].to_numpy()
-        hi = running[np.searchsorted(times, order, side="right")]
-        lo = running[np.searchsorted(times, order - w, side="left")]
-        frame = hi - lo
-        cols = zip(order.tolist(), pdf["pid"].tolist(), pdf["src_ip"].tolist(), pdf["dst_ip"].tolist(),
-                   pdf["tracked"].tolist(), pdf["value"].tolist(), (pdf["home"] == slice_no).tolist(), frame.tolist())
-        pending = list(cols)
-        i = 0
-        while i < len(pending):  # rows of equal time see each other
-            j, t = i, pending[i][0]
-            while j < len(pending) and pending[j][0] == t:
-                if pending[j][4] and pending[j][5] is not None:
-                    last_seen[pending[j][5]] = max(t, last_seen.get(pending[j][5], t))
-                j += 1
-            block = [p for p in pending[i:j] if p[6]]
-            if block and (block[0][7] >= threshold or distinct):
+        rows = sorted(
+            r for pdf in batches for r in zip(pdf["ts_us"].tolist(), pdf["pid"].tolist(), pdf["src_ip"].tolist(),
+                                              pdf["dst_ip"].tolist(), pdf["tracked"].tolist(), pdf["value"].tolist(),
+                                              (pdf["home"] == slice_no).tolist()))
+        counts = Counter(dict(zip(at, n)))
+        counts.update(r[0] for r in rows if r[4])
+        at = sorted(counts)
+        n = [counts[t] for t in at]
+        running = [0, *accumulate(n)]
+        for t, same in groupby(rows, key=lambda r: r[0]):  # rows of equal time see each other
+            same = list(same)
+            for r in same:
+                if r[4] and r[5] is not None:
+                    last_seen[r[5]] = max(t, last_seen.get(r[5], t))
+            points = [r for r in same if r[6]]
+            frame = running[bisect_right(at, t)] - running[bisect_left(at, t - w)]
+            if points and frame >= threshold:  # at least as many packets as distinct values
                 d = sum(1 for s in last_seen.values() if t - w <= s <= t)
-                if (d if distinct else block[0][7]) >= threshold:
-                    out += [(p[1], t, p[2], p[3], rule, p[7], d) for p in block]
-            i = j
-        floor = slice_no * g - w
-        keep = times >= floor
-        state.update((times[keep].tolist(), counts.to_numpy(np.int64)[keep].tolist(), list(last_seen), list(last_seen.values())))
+                if (d if distinct else frame) >= threshold:
+                    out += [(r[1], t, r[2], r[3], rule, frame, d) for r in points]
+        state.update((at, n, list(last_seen), list(last_seen.values())))
         state.setTimeoutTimestamp(max((slice_no + 1) * g // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["pid", "ts_us", "src_ip", "dst_ip", "rule", "n", "d"])
 

@@ -25,7 +25,7 @@ for name, fn in QUERIES.items():
         else:
             n, err = fn(spark, SF).count(), None
     except Exception as e:
-        n, err = -1, f"{type(e).__name__}: {str(e)[:600]}"
+        n, err = -1, f"{type(e).__name__}: {str(e)[:int(os.environ.get("ERR", 600))]}"
     print(f"{'ok  ' if not err else 'FAIL'} {name:32s} rows={n:6d} {time.time() - t:6.2f}s {'S' if name in ORACLES else 'N'} {err or ''}", flush=True)
     if err:
         bad.append(name)
