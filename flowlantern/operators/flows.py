@@ -163,7 +163,12 @@ def flow_features(marked: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
         *[F.count_if(tcp & net.has_flag(F.col("flags"), x)).alias(f"tcp_flag_{x}") for x in FLAGS],
         F.max("label").alias("label"),
     )
-    n, dur = F.col("packet_count"), (F.col("end_us") - F.col("start_us")) / sec
+    return derived_features(g, th)
+
+
+def derived_features(g: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """The features that follow from the aggregates of a flow; shared with the streaming form."""
+    n, dur = F.col("packet_count"), (F.col("end_us") - F.col("start_us")) / F.lit(float(SECOND))
     iat_mean = dur / n  # the list of gaps starts with a 0 for the first packet
     burst = net.ratio(F.col("iat_sd"), iat_mean)
     return g.select(

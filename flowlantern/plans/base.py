@@ -14,6 +14,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_MADE: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
+    """Stored tables and trained models that several queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
     """Register a query. ``sql`` sees the named fixture views as CTEs; it may add CTEs with a leading ``,``."""
 

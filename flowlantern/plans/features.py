@@ -8,7 +8,7 @@ from flowlantern.functions.net import round6
 from flowlantern.operators import features as ft, metrics as me
 from flowlantern.plans.alerts import r6
 from flowlantern.plans.base import query
-from flowlantern.plans.flows import FLOW_ROWS, FLOW_WINDOWS, _r, features, rounded, window_cte, window_rows
+from flowlantern.plans.flows import FLOW_ROWS, FLOW_WINDOWS, _r, rounded, stored_flows, window_cte, window_rows
 from flowlantern.sources import fixture as fx
 
 ML_FLOW = """
@@ -21,7 +21,7 @@ ml AS (SELECT pid, label, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in
 
 
 def ml_flows(spark, d):
-    return ft.ml_flow_features(features(spark, d))
+    return ft.ml_flow_features(stored_flows(spark, d))
 
 
 @query("ml_flow_features", FLOW_ROWS + ML_FLOW + f" SELECT pid, label, {_r(*ft.FLOW_FEATURES)} FROM ml", ("packets",), recursive=True)
@@ -43,15 +43,11 @@ def ml_window_features(spark, d):
     return rounded(ft.ml_window_features(window_rows(spark, d)), ft.WINDOW_FEATURES)
 
 
-def _stat(c, sql):
-    return sql.format(c=c)
-
-
 @query("standard_scale", FLOW_ROWS + ML_FLOW + " SELECT pid, " + ", ".join(
     f"{r6(f'({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END')} AS {c}"
     for c in ft.FLOW_NUMERICAL) + " FROM ml", ("packets",), recursive=True)
 def standard_scale(spark, d):
-    df = ml_flows(spark, d).select("pid", *ft.FLOW_NUMERICAL).persist()
+    df = ml_flows(spark, d).select("pid", *ft.FLOW_NUMERICAL)
     return rounded(ft.scale(df, ft.fit_standard(df, ft.FLOW_NUMERICAL)), ft.FLOW_NUMERICAL)
 
 
@@ -59,7 +55,7 @@ def standard_scale(spark, d):
     f"{r6(f'({c} - min({c}) OVER ()) / CASE WHEN max({c}) OVER () > min({c}) OVER () THEN max({c}) OVER () - min({c}) OVER () ELSE 1 END')} AS {c}"
     for c in ft.FLOW_NUMERICAL) + " FROM ml", ("packets",), recursive=True)
 def minmax_scale(spark, d):
-    df = ml_flows(spark, d).select("pid", *ft.FLOW_NUMERICAL).persist()
+    df = ml_flows(spark, d).select("pid", *ft.FLOW_NUMERICAL)
     return rounded(ft.scale(df, ft.fit_minmax(df, ft.FLOW_NUMERICAL)), ft.FLOW_NUMERICAL)
 
 
@@ -94,7 +90,7 @@ def select_features(spark, d):
 
 @query("mutual_information")
 def mutual_information(spark, d):
-    df = ml_flows(spark, d).persist()
+    df = ml_flows(spark, d)
     return ft.mutual_information(df, ft.FLOW_FEATURES)
 
 
@@ -105,7 +101,7 @@ SELECT count(*) AS samples, count(DISTINCT src_ip) AS sources, {r6('avg(duration
 """, ("packets",), recursive=True)
 def dataset_metadata(spark, d):
     text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
-    return ft.dataset_metadata(features(spark, d)).select(
+    return ft.dataset_metadata(stored_flows(spark, d)).select(
         "samples", "sources", round6(F.col("mean_duration")).alias("mean_duration"), text("protocol_distribution"), text("class_distribution"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from flowlantern.config import SCALED
 from flowlantern.functions.net import round6
 from flowlantern.operators import connections as conn, flows as fl, windows as win
-from flowlantern.plans.base import query
+from flowlantern.plans.base import once, query
 from flowlantern.plans.packets import DST_IN, SRC_IN
+from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx
 
 # Sessions of one protocol: lag and running sum over the plain rows, independent of the slices Spark uses.
@@ -137,6 +138,15 @@ def features(spark, d):
     return fl.flow_features(fl.flow_packets(fx.packets(spark, d)))
 
 
+def stored_flows(spark, d):
+    """The flow table, written once per session; feature and model queries read it as any stored table."""
+    def make():
+        path = scratch_path(spark, "flows")
+        features(spark, d).write.parquet(path)
+        return path
+    return spark.read.parquet(once(spark, d, "flows", make))
+
+
 @query("flows", FLOW_ROWS + """
 SELECT flow_pid, flow_key, start_us, end_us, packet_count, byte_count FROM f
 """, ("packets",), recursive=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlantern.operators import logs as lg, quality as qu
 from flowlantern.plans.base import query
-from flowlantern.plans.flows import FLOW_ROWS, features
+from flowlantern.plans.flows import FLOW_ROWS, stored_flows
 from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx, sinks
 
@@ -108,7 +108,7 @@ UNION ALL SELECT 'protocol', count(*) FROM f WHERE flow_pid % 83 = 0
 """, ("packets",), recursive=True)
 def validate_flows(spark, d):
     i = F.col("flow_pid")
-    f = features(spark, d).withColumns({
+    f = stored_flows(spark, d).withColumns({
         "duration": F.when(i % 97 == 0, -1.0).otherwise(F.col("duration")),
         "regularity": F.when(i % 89 == 0, 1.5).otherwise(F.col("regularity")),
         "protocol": F.when(i % 83 == 0, F.lit("GRE")).otherwise(F.col("protocol"))})

@@ -6,41 +6,27 @@ from pyspark.sql import functions as F
 
 from flowlantern.config import SCALED
 from flowlantern.operators import ensemble as en, features as ft, flows as fl, models as mo, windows as win
-from flowlantern.plans.base import query
+from flowlantern.plans.base import once, query
+from flowlantern.plans.flows import stored_flows
 from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx
 
-_CACHE: dict = {}
-
-
-def _once(spark, d, what, make):
-    """Models and the table they train on are shared by the queries of one session."""
-    key = (spark.sparkContext.applicationId, d, what)
-    if key not in _CACHE:
-        _CACHE[key] = make()
-    return _CACHE[key]
-
-
 def flow_table(spark, d):
-    """Flow features with addresses, written once to the shared folder."""
-    def make():
-        path = scratch_path(spark, "flow-features")
-        f = fl.flow_features(fl.flow_packets(fx.packets(spark, d)))
-        ml = ft.ml_flow_features(f)
-        f.select(F.col("flow_pid").alias("pid"), F.col("end_us").alias("ts_us"), "src_ip", "dst_ip").join(ml, "pid").write.parquet(path)
-        return spark.read.parquet(path)
-    return _once(spark, d, "flows", make)
+    """Model features of the stored flows, with time and addresses."""
+    f = stored_flows(spark, d)
+    extra = f.select(F.col("flow_pid").alias("pid"), F.col("end_us").alias("ts_us"), "src_ip", "dst_ip")
+    return ft.ml_flow_features(f).join(extra, "pid")
 
 
 def trained(spark, d):
-    return _once(spark, d, "models", lambda: mo.train_all(flow_table(spark, d), ft.FLOW_FEATURES))
+    return once(spark, d, "models", lambda: mo.train_all(flow_table(spark, d), ft.FLOW_FEATURES))
 
 
 def _one(spark, d, name):
     models = trained(spark, d)[0]
     if name in models:
         return models[name]
-    return _once(spark, d, name, lambda: mo.train(name, mo.split(flow_table(spark, d))[0], ft.FLOW_FEATURES))
+    return once(spark, d, name, lambda: mo.train(name, mo.split(flow_table(spark, d))[0], ft.FLOW_FEATURES))
 
 
 def _predictions(name):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlantern.config import SECOND
-from flowlantern.operators import alerts as al, ensemble as en, notify as no, packets as pk, rules as ru
+from flowlantern.operators import ensemble as en, features as ft, models as mo, notify as no, packets as pk, rules as ru
 from flowlantern.plans.base import query
 from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx, readers
@@ -131,22 +131,17 @@ def streaming_alerts(spark, d):
 
 @query("streaming_scoring")
 def streaming_scoring(spark, d):
-    """Window-free scoring of flows as they close: the vote of the one-class models on the streamed flow features."""
-    from flowlantern.operators import models as mo
+    """Flows scored as they close: the ensemble trained on the stored flows votes on the streamed ones."""
+    from flowlantern.plans.models import trained
 
-    feats = ["packet_count", "byte_count", "duration", "packets_per_second", "bytes_per_second", "avg_inter_arrival_time",
-             "std_inter_arrival_time", "avg_packet_size", "std_packet_size"]
-    out = scratch_path(spark, "scored")
-    closed = sf.full_flows(open_feed(spark, fx.packets(spark, d)))
-    from flowlantern.plans.models import flow_table
-
-    models = {"isolation_forest": mo.train("isolation_forest", mo.normal_rows(flow_table(spark, d)), feats)}
+    models, out = trained(spark, d)[0], scratch_path(spark, "scored")
 
     def score(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("pid", F.xxhash64("flow_key", "start_us", "packet_count"))
-        v = en.majority_vote(mo.votes(models, rows))
-        rows.select("pid", "flow_key", "start_us").join(v, "pid").write.mode("append").parquet(out)
+        ends = batch.select(F.col("flow_pid").alias("pid"), F.col("end_us").alias("ts_us"), "src_ip", "dst_ip")
+        det = en.detections(mo.votes(models, ft.ml_flow_features(batch)), ends)
+        det.select("pid", "ts_us", "is_anomaly", "confidence").write.mode("append").parquet(out)
 
+    closed = sf.full_flows(open_feed(spark, fx.packets(spark, d)))
     readers.with_handlers(closed, [score], scratch_path(spark, "scored-ckpt")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 

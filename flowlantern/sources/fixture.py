@@ -188,7 +188,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = view(spark, sf_dir, "packets").drop("cls")
         parts = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "events").rdd.getNumPartitions())
         path = scratch_path(spark, "packets")
-        rows.repartitionByRange(parts, "ts_us").sortWithinPartitions("ts_us", "pid").write.parquet(path)
+        rows.repartitionByRange(parts, "ts_us", "pid").sortWithinPartitions("ts_us", "pid").write.parquet(path)
         _INGESTED[key] = path
     return read_packets(spark, _INGESTED[key])
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlantern.config import DEFAULTS, SECOND, Thresholds
 from flowlantern.functions import net
+from flowlantern.operators.flows import FLAGS, derived_features
 
 
 def idle_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
@@ -26,13 +27,18 @@ def idle_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DE
     ).select("flow_key", "start_us", "end_us", "packet_count", "byte_count")
 
 
-_OUT = "flow_key string, start_us bigint, end_us bigint, packet_count bigint, byte_count bigint, iat_sq double, size_sq double"
-_STATE = "start_us bigint, end_us bigint, n bigint, b bigint, iat_sq double, size_sq double"
+_KEY = ["flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+_KEY_DDL = "flow_key string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
+_STATE = (
+    "flow_pid bigint, start_us bigint, end_us bigint, packet_count bigint, byte_count bigint, iat_sq double, size_sq double, "
+    "min_packet_size int, max_packet_size int, flag_counts array<bigint>, label int"
+)
 
 
 def full_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
-    """Flows by the full rule (idle, 60 s, 1001 packets). A flow comes out on the packet that closes it, or once the
-    watermark is past its idle time. State per open flow is six numbers; the sums of squares give the deviations.
+    """Flows by the full rule (idle, 60 s, 1001 packets), with all batch features. A flow comes out on the packet that
+    closes it, or once the watermark is past its idle time. State per open flow is a few numbers; the sums of squares
+    give the deviations.
 
     Rows of one micro-batch are put in time order per key; a row that arrives late in a later batch joins the open
     flow without moving its end back.
@@ -40,48 +46,52 @@ def full_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DE
     idle, active, most = th.flow_idle_us, th.flow_active_us, th.flow_max_packets
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
+        out, tcp = [], key[5] == "TCP"
         cur = list(state.get) if state.exists else None
-
-        def close():
-            out.append((key[0], *cur))
-
         if state.hasTimedOut:
-            close()
+            out.append((*key, *cur))
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "pid"])
-            for t, size in zip(rows["ts_us"].tolist(), rows["packet_size"].tolist()):
-                if cur is not None and t - cur[1] > idle:
-                    close()
+            rows = sorted(r for p in batches for r in zip(
+                p["ts_us"].tolist(), p["pid"].tolist(), p["packet_size"].tolist(), p["flags"].tolist(), p["label"].tolist()))
+            for t, pid, size, flags, label in rows:
+                if cur is not None and t - cur[2] > idle:
+                    out.append((*key, *cur))
                     cur = None
                 if cur is None:
-                    cur = [t, t, 0, 0, 0.0, 0.0]
-                gap = max(t - cur[1], 0) / 1e6
-                cur[1] = max(t, cur[1])
-                cur[2] += 1
-                cur[3] += size
-                cur[4] += gap * gap
-                cur[5] += float(size) * size
-                if cur[1] - cur[0] > active or cur[2] > most:
-                    close()
+                    cur = [pid, t, t, 0, 0, 0.0, 0.0, size, size, [0] * len(FLAGS), 0]
+                gap = max(t - cur[2], 0) / 1e6
+                cur[2] = max(t, cur[2])
+                cur[3] += 1
+                cur[4] += size
+                cur[5] += gap * gap
+                cur[6] += float(size) * size
+                cur[7], cur[8] = min(cur[7], size), max(cur[8], size)
+                if tcp:
+                    cur[9] = [n + (x in flags) for n, x in zip(cur[9], FLAGS)]
+                cur[10] = max(cur[10], label)
+                if cur[2] - cur[1] > active or cur[3] > most:
+                    out.append((*key, *cur))
                     cur = None
-            if cur is None:
-                if state.exists:
-                    state.remove()
-            else:
+            if cur is not None:
                 state.update(tuple(cur))
-                wake = cur[1] // 1000 + idle // 1000 + 1
-                state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        names = ["flow_key", "start_us", "end_us", "packet_count", "byte_count", "iat_sq", "size_sq"]
-        yield pd.DataFrame(out, columns=names)
-
-    rows = stream.withWatermark("ts", delay).select("ts", "ts_us", "pid", "packet_size", net.flow_key().alias("flow_key"))
-    raw = rows.groupBy("flow_key").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                state.setTimeoutTimestamp(max(cur[2] // 1000 + idle // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in f"{_KEY_DDL}, {_STATE}".split(", ")])
+
+    rows = stream.withWatermark("ts", delay).select(
+        "ts", "ts_us", "pid", "packet_size", "flags", F.col("label") if "label" in stream.columns else F.lit(0).alias("label"),
+        net.flow_key().alias("flow_key"), "src_ip", "dst_ip",
+        *[net.port_or_zero(F.col(c)).alias(c) for c in ("src_port", "dst_port")], F.upper("protocol").alias("protocol"))
+    raw = rows.groupBy(*_KEY).applyInPandasWithState(
+        run, f"{_KEY_DDL}, {_STATE}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     n, dur = F.col("packet_count"), (F.col("end_us") - F.col("start_us")) / SECOND
     sd = lambda sq, total: F.when(n > 1, F.sqrt(F.greatest((sq - total * total / n) / (n - 1), F.lit(0.0)))).otherwise(0.0)
-    return raw.select(
-        "flow_key", "start_us", "end_us", "packet_count", "byte_count", dur.alias("duration"),
-        net.ratio(n, dur).alias("packets_per_second"), net.ratio(F.col("byte_count"), dur).alias("bytes_per_second"),
-        (dur / n).alias("avg_inter_arrival_time"), sd(F.col("iat_sq"), dur).alias("std_inter_arrival_time"),
-        (F.col("byte_count") / n).alias("avg_packet_size"), sd(F.col("size_sq"), F.col("byte_count")).alias("std_packet_size"))
+    fwd, zero = net.is_forward(), F.lit(0).cast("bigint")
+    return derived_features(raw.withColumns({
+        "iat_sd": sd(F.col("iat_sq"), dur), "size_sd": sd(F.col("size_sq"), F.col("byte_count")),
+        **{f"src_to_dst_{u}": F.when(fwd, F.col(c)).otherwise(zero) for u, c in (("packets", "packet_count"), ("bytes", "byte_count"))},
+        **{f"dst_to_src_{u}": F.when(fwd, zero).otherwise(F.col(c)) for u, c in (("packets", "packet_count"), ("bytes", "byte_count"))},
+        **{f"tcp_flag_{x}": F.col("flag_counts")[i] for i, x in enumerate(FLAGS)},
+    }), th)
