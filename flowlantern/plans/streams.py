@@ -17,19 +17,22 @@ FAR_US = 30 * 86_400 * SECOND  # a last row this far ahead moves the watermark p
 
 
 def feed(spark: SparkSession, df: DataFrame, mark: bool = True) -> str:
-    """Writes ``df`` as consecutive time ranges, then one far-future row that closes all windows."""
+    """Writes ``df`` as consecutive time ranges of equally many files, then one far-future row that closes all windows.
+
+    A trigger that takes that many files sees one range at a time, so no row is late.
+    """
     path = scratch_path(spark, "feed")
     lo, hi = df.agg(F.min("ts_us"), F.max("ts_us")).first()
     step = (hi - lo) // PARTS + 1
     for i in range(PARTS):
-        df.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step)).coalesce(4).write.mode("append").parquet(path)
+        df.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step)).repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(path)
     if mark:
         df.where(F.col("ts_us") == hi).limit(1).withColumn("ts_us", F.col("ts_us") + FAR_US).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 def open_feed(spark: SparkSession, df: DataFrame, mark: bool = True) -> DataFrame:
-    return readers.stream_packets(spark, feed(spark, df, mark), files_per_trigger=4, schema=df.schema)
+    return readers.stream_packets(spark, feed(spark, df, mark), files_per_trigger=spark.sparkContext.defaultParallelism, schema=df.schema)
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -111,7 +114,7 @@ _RULES = ("port_scan_basic", "syn_flood", "dns_amplification", "ssh_brute_force"
 def streaming_matches(spark, d):
     p = fx.packets(spark, d)
     quick = drain(spark, sr.stateless(open_feed(spark, p, mark=False), ru.DEFAULT_RULES).select("pid", "signature_id"), "quick")
-    slow = drain(spark, sr.behavioural(open_feed(spark, p, mark=False), [ru.default_rule(i) for i in _RULES]), "slow")
+    slow = drain(spark, sr.behavioural(open_feed(spark, p, mark=False), [ru.default_rule(i) for i in _RULES], buckets=spark.sparkContext.defaultParallelism), "slow")
     return slow.select("pid", "signature_id", "frame_count").unionByName(
         quick.withColumn("frame_count", F.lit(None).cast("bigint")))
 

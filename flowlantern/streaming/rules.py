@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import replace
 from itertools import accumulate, groupby
@@ -18,56 +18,68 @@ from flowlantern.operators import rules as ru
 stateless = ru.stateless_matches  # a plain projection: the batch operator serves streams as it is
 
 _OUT = "pid bigint, ts_us bigint, src_ip string, dst_ip string, rule string, n bigint, d bigint"
-_STATE = "at array<bigint>, n array<bigint>, value array<string>, seen array<bigint>"
+_STATE = (
+    "count_key array<string>, count_at array<bigint>, count_n array<bigint>, "
+    "value_key array<string>, value array<string>, value_seen array<bigint>"
+)
 
 
-def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 seconds") -> DataFrame:
-    """Behavioural rules. State is kept per (rule, key, slice as long as the frame): a packet goes to its own slice,
-    and tracked packets also to the next one, which their frame can reach. So state is bounded, counts per microsecond
-    and the last sighting of each value, and is dropped by the watermark when the slice is over. Matches come out in
-    the batch in which the packet arrives.
+def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 seconds", buckets: int = 256) -> DataFrame:
+    """Behavioural rules. State is kept per (rule, slice as long as the frame, hash bucket of the key): a packet goes to
+    its own slice, and tracked packets also to the next one, which their frame can reach. So state is bounded, counts
+    per microsecond and the last sighting of each value, and is dropped by the watermark when the slice is over.
+    Matches come out in the batch in which the packet arrives. ``buckets`` is the parallelism of a slice: each group
+    costs a call per batch, so it should follow the number of cores, not the number of keys.
     """
     specs = [replace(s, slice_us=s.window_us) for s in (ru._spec(r) for r in rules if r.pattern_type == "behavioral")]
-    limits = {s.rule.id: (s.threshold, s.by_distinct, s.window_us, s.slice_us) for s in specs}
+    limits = {s.rule.id: (s.threshold, s.by_distinct, s.window_us) for s in specs}
     rows = ru._touch_rows(stream.withWatermark("ts", delay), specs, False, ["ts", "pid", "src_ip", "dst_ip"])
     own = ru._slice_of("ts_us")
     last = F.when(F.col("tracked"), ru._slice_of(F.col("ts_us") + F.col("w"))).otherwise(own)
-    rows = rows.withColumn("home", own).withColumn("slice", F.explode(F.sequence(own, last)))
+    rows = rows.withColumn("home", own).withColumn("slice", F.explode(F.sequence(own, last))).withColumn(
+        "bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    fields = ["key", "ts_us", "pid", "src_ip", "dst_ip", "tracked", "value", "home"]
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule, slice_no = key[0], int(key[2])
-        threshold, distinct, w, g = limits[rule]
+    def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rule, slice_no = group[0], int(group[1])
+        threshold, distinct, w = limits[rule]
         if state.hasTimedOut:
             state.remove()
             return
-        at, n, values, seen = ([list(x) for x in state.get] if state.exists else ([], [], [], []))
-        last_seen = dict(zip(values, seen))
+        counts: dict[str, Counter] = defaultdict(Counter)
+        sightings: dict[str, dict] = defaultdict(dict)
+        if state.exists:
+            ck, ca, cn, vk, vv, vs = state.get
+            for k, t, n in zip(ck, ca, cn):
+                counts[k][t] = n
+            for k, v, t in zip(vk, vv, vs):
+                sightings[k][v] = t
         out = []
-        rows = sorted(
-            r for pdf in batches for r in zip(pdf["ts_us"].tolist(), pdf["pid"].tolist(), pdf["src_ip"].tolist(),
-                                              pdf["dst_ip"].tolist(), pdf["tracked"].tolist(), pdf["value"].tolist(),
-                                              (pdf["home"] == slice_no).tolist()))
-        counts = Counter(dict(zip(at, n)))
-        counts.update(r[0] for r in rows if r[4])
-        at = sorted(counts)
-        n = [counts[t] for t in at]
-        running = [0, *accumulate(n)]
-        for t, same in groupby(rows, key=lambda r: r[0]):  # rows of equal time see each other
-            same = list(same)
-            for r in same:
-                if r[4] and r[5] is not None:
-                    last_seen[r[5]] = max(t, last_seen.get(r[5], t))
-            points = [r for r in same if r[6]]
-            frame = running[bisect_right(at, t)] - running[bisect_left(at, t - w)]
-            if points and frame >= threshold:  # at least as many packets as distinct values
-                d = sum(1 for s in last_seen.values() if t - w <= s <= t)
-                if (d if distinct else frame) >= threshold:
-                    out += [(r[1], t, r[2], r[3], rule, frame, d) for r in points]
-        state.update((at, n, list(last_seen), list(last_seen.values())))
-        state.setTimeoutTimestamp(max((slice_no + 1) * g // 1000, state.getCurrentWatermarkMs() + 1))
+        rows = sorted((r for pdf in batches for r in zip(*(pdf[f].tolist() for f in fields))), key=lambda r: r[:3])
+        for key, of_key in groupby(rows, key=lambda r: r[0]):
+            of_key, count, last_seen = list(of_key), counts[key], sightings[key]
+            count.update(r[1] for r in of_key if r[5])
+            at = sorted(count)
+            running = [0, *accumulate(count[t] for t in at)]
+            for t, same in groupby(of_key, key=lambda r: r[1]):  # rows of equal time see each other
+                same = list(same)
+                for r in same:
+                    if r[5] and r[6] is not None:
+                        last_seen[r[6]] = max(t, last_seen.get(r[6], t))
+                points = [r for r in same if r[7] == slice_no]
+                frame = running[bisect_right(at, t)] - running[bisect_left(at, t - w)]
+                if points and frame >= threshold:  # there are at least as many packets as distinct values
+                    d = sum(1 for s in last_seen.values() if t - w <= s <= t)
+                    if (d if distinct else frame) >= threshold:
+                        out += [(r[2], t, r[3], r[4], rule, frame, d) for r in points]
+        c = [(k, t, n) for k, x in counts.items() for t, n in x.items()]
+        v = [(k, x, t) for k, y in sightings.items() for x, t in y.items()]
+        if c:
+            state.update(tuple([x[i] for x in part] for part in (c, v) for i in range(3)))
+            state.setTimeoutTimestamp(max((slice_no + 1) * w // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["pid", "ts_us", "src_ip", "dst_ip", "rule", "n", "d"])
 
-    raw = rows.groupBy("rule", "key", "slice").applyInPandasWithState(
+    raw = rows.groupBy("rule", "slice", "bucket").applyInPandasWithState(
         run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     pick = lambda f: F.coalesce(*[F.when(F.col("rule") == s.rule.id, f(s)) for s in specs])
     measure = pick(lambda s: F.col("d") if s.by_distinct else F.col("n"))
