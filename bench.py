@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from flowlantern.plans.registry import QUERIES  # noqa: E402
 from flowlantern.session import build_session  # noqa: E402
-from flowlantern.sources.fixture import table  # noqa: E402
+from flowlantern.sources.fixture import packets, table  # noqa: E402
 
 HEADLINE = [
     "packet_features", "service_traffic", "capture_stats", "top_ports", "tcp_connections", "flows", "flow_features",
@@ -28,12 +28,18 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
     rows = table(spark, sf_dir, "events").count()
-    QUERIES["capture_stats"](spark, sf_dir).collect()  # warm up the JVM
-    seconds = {}
+    table(spark, sf_dir, "events").groupBy("event_type").count().collect()  # warm up the JVM
+    start = time.perf_counter()
+    packets(spark, sf_dir).count()
+    seconds = {"ingest": round(time.perf_counter() - start, 3)}
+    runs = int(os.environ.get("BENCH_RUNS", "2"))  # best of: the first run of a plan mostly measures code generation
     for name in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        times = []
+        for _ in range(runs):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        seconds[name] = round(min(times), 3)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds,

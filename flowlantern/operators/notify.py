@@ -20,7 +20,7 @@ class Channel:
 DEFAULT_CHANNELS = [Channel("syslog"), Channel("console"), Channel("file"), Channel("email", False), Channel("webhook", False)]
 
 
-def fan_out(alerts: DataFrame, channels: list[Channel] | None = None, product: str = "NIDS") -> DataFrame:
+def fan_out(alerts: DataFrame, channels: list[Channel] | None = None, product: str = "IDS") -> DataFrame:
     """One row per (alert, enabled channel) with the text that channel sends. No join: the channels are a literal."""
     names = [c.name for c in (DEFAULT_CHANNELS if channels is None else channels) if c.enabled]
     p, kind = F.col("priority"), F.upper("attack_type")

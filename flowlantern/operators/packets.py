@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlantern.config import DEFAULTS, SECOND, Thresholds
 from flowlantern.functions import net
 
-RECENT = 1000  # size of the reference's packet ring; "recent packets" is a top-k by time
+RECENT = 1000  # size of the capture ring; "recent packets" is a top-k by time
 
 
 def protocol_label(ip_version: Column, l4_protocol: Column, arp_op: Column) -> Column:

@@ -378,13 +378,13 @@ def alert_file_sink(spark, d):
 # ---- notifications ------------------------------------------------------------------------------
 @query("fan_out", """
 SELECT alert_id, ts_us, channel, CASE priority WHEN 'LOW' THEN 'INFO' WHEN 'HIGH' THEN 'ERR' WHEN 'CRITICAL' THEN 'CRIT' ELSE 'WARNING' END AS level,
-  '[NIDS ALERT] ' || priority || ': ' || upper(attack_type) AS subject,
-  CASE channel WHEN 'syslog' THEN 'NIDS Alert [' || priority || '] ' || upper(attack_type) || ': Source: ' || source_ip || ', Target: '
+  '[IDS ALERT] ' || priority || ': ' || upper(attack_type) AS subject,
+  CASE channel WHEN 'syslog' THEN 'IDS Alert [' || priority || '] ' || upper(attack_type) || ': Source: ' || source_ip || ', Target: '
       || coalesce(target_ip, 'N/A') || ', Confidence: ' || printf('%.2f', confidence * 100) || '%, ID: ' || alert_id
     WHEN 'file' THEN '{"alert_id":' || alert_id || ',"timestamp":' || ts_us || ',"priority":"' || priority || '","status":"' || status || '","source_ip":"'
       || source_ip || '",' || CASE WHEN target_ip IS NULL THEN '' ELSE '"target_ip":"' || target_ip || '",' END || '"attack_type":"' || attack_type
       || '","confidence":' || confidence || ',"source":"' || source || '"}'
-    ELSE '[NIDS ALERT] ' || priority || ': ' || upper(attack_type) END AS message
+    ELSE '[IDS ALERT] ' || priority || ': ' || upper(attack_type) END AS message
 FROM alerts_fx, (VALUES ('syslog'), ('console'), ('file')) c(channel)
 """, ("alerts_fx",))
 def fan_out(spark, d):

@@ -17,7 +17,7 @@ from flowlantern.operators.flows import FLAGS, derived_features
 def idle_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
     """Flows by the idle rule alone, with built-in session windows (merged before the shuffle).
 
-    The reference splits on a pause of more than 60 s; a session window closes at 60 s, so the gap is 1 us longer.
+    A flow splits on a pause of more than 60 s; a session window already closes at its gap, so the gap is 1 us longer.
     """
     gap = f"{th.flow_idle_us + 1} microseconds"
     g = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), net.flow_key().alias("flow_key"))
