@@ -1,9 +1,10 @@
 """Aggregates, patterns and scores per epoch-aligned 10-second window.
 
 Everything is derived from one pre-aggregation, the *conversations* of a window: packets, bytes and odd flag sets
-per (window, 5-tuple). It is built with map-side combine and is the only shuffle that sees packet-sized data; the
-measures below aggregate it further (Spark reuses its exchange), so a window holding a large share of all packets
-costs no single task more than its share of conversations.
+per (window, 5-tuple), built with map-side combine. The full feature row comes from one scan: each conversation is
+seen as a part of its target, its source and its ports, and three more aggregations, each far smaller than the one
+before, count and rank those entities. So a window holding a large share of all packets costs no single task more than
+its share of conversations.
 """
 
 from __future__ import annotations
@@ -61,22 +62,51 @@ def _sources(conv: DataFrame, th: Thresholds) -> DataFrame:
     )
 
 
-def _ports(conv: DataFrame) -> DataFrame:
-    ports = conv.select("window_us", F.explode(F.array("src_port", "dst_port")).alias("port"))
-    return ports.where("port <> 0").distinct().groupBy("window_us").agg(F.count("*").alias("unique_ports"))
+_SUMS = ["n", "b", "odd", "flow_keys", "outbound", "tcp", "udp", "icmp", "arp"]
 
 
-def window_aggregates(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    """Packets, bytes, distinct sources, destinations and ports."""
+def window_measures(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """Every plain measure of a window from one scan."""
     conv = conversations(df, th)
-    return (
-        _totals(conv, th).join(_destinations(conv), "window_us").join(_sources(conv, th), "window_us")
-        .join(_ports(conv), "window_us", "left")
-        .select("window_us", "total_packets", "total_bytes", "unique_sources", "unique_destinations",
-                F.coalesce("unique_ports", F.lit(0)).alias("unique_ports"))
+    src_in, dst_in = (net.is_internal_ip(F.col(c), th.internal_cidrs) for c in ("src_ip", "dst_ip"))
+    conv = conv.withColumns({
+        "cross": src_in != dst_in, "outbound": F.when(src_in & ~dst_in, F.col("b")).otherwise(0),
+        "flow_keys": F.lit(1).cast("bigint"),
+        **{p: F.when(F.col("protocol") == p.upper(), F.col("n")).otherwise(0) for p in ("tcp", "udp", "icmp", "arp")},
+    })
+    none = F.lit(None)
+
+    def entity(kind: str, name: Column, part: Column, counted: bool) -> Column:
+        # the sums of a window ride on its targets alone, so that they are counted once
+        return F.struct(
+            F.lit(kind).alias("kind"), name.cast("string").alias("name"), part.cast("int").alias("part"),
+            *[(F.col(c) if counted else none).cast("bigint").alias(c) for c in _SUMS])
+
+    rows = conv.select("window_us", "cross", F.explode(F.array(
+        entity("target", F.col("dst_ip"), none, True), entity("source", F.col("src_ip"), F.col("dst_port"), False),
+        entity("port", F.col("src_port"), none, False), entity("port", F.col("dst_port"), none, False))).alias("x"))
+    rows = rows.select("window_us", "cross", "x.*").where("kind <> 'port' OR name <> '0'")
+    parts = rows.groupBy("window_us", "kind", "name", "part").agg(
+        F.max("cross").alias("cross"), *[F.sum(c).alias(c) for c in _SUMS])
+    names = parts.groupBy("window_us", "kind", "name").agg(
+        F.count_if("cross").alias("cross_ports"), *[F.sum(c).alias(c) for c in _SUMS])
+    kind = F.col("kind")
+    return names.groupBy("window_us").agg(
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.count_if(kind == "source").alias("unique_sources"), F.count_if(kind == "target").alias("unique_destinations"),
+        F.count_if(kind == "port").alias("unique_ports"),
+        F.max(F.when(kind == "target", F.col("n"))).alias("max_dst_packets"),
+        F.max(F.when(kind == "source", F.col("cross_ports"))).alias("max_src_ports"),
     )
 
 
+def window_aggregates(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """Packets, bytes, distinct sources, destinations and ports."""
+    return window_measures(df, th).select(
+        "window_us", F.col("n").alias("total_packets"), F.col("b").alias("total_bytes"), "unique_sources",
+        "unique_destinations", "unique_ports")
+
+
 def window_protocol_ratios(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Share of each protocol, as a map."""
     per = df.groupBy(bucket_start(th.window_us).alias("window_us"), F.upper("protocol").alias("protocol")).agg(
@@ -144,23 +174,18 @@ def unusual_protocol_scores(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFra
 
 def window_features(df: DataFrame, flows: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Every aggregate, pattern, ratio and score of a window in one row."""
-    conv = conversations(df, th)
-    n = F.col("total_packets")
-    rows = (
-        _totals(conv, th).join(_destinations(conv), "window_us").join(_sources(conv, th), "window_us")
-        .join(_ports(conv), "window_us", "left").join(_flow_durations(flows, th), "window_us", "left")
-    )
+    n = F.col("n")
+    rows = window_measures(df, th).join(_flow_durations(flows, th), "window_us", "left")
     return rows.select(
-        "window_us", "total_packets", "total_bytes", "unique_sources", "unique_destinations",
-        F.coalesce("unique_ports", F.lit(0)).alias("unique_ports"),
-        (F.col("flow_keys") / _seconds(th)).alias("new_flows_per_second"),
+        "window_us", n.alias("total_packets"), F.col("b").alias("total_bytes"), "unique_sources", "unique_destinations",
+        "unique_ports", (F.col("flow_keys") / _seconds(th)).alias("new_flows_per_second"),
         F.coalesce("avg_flow_duration", F.lit(0.0)).alias("avg_flow_duration"),
         (F.col("flow_keys") / n).alias("flow_diversity"),
         scan_score(F.col("max_src_ports"), th).alias("port_scan_score"),
         dos_score(F.col("max_dst_packets") / _seconds(th), th).alias("dos_score"),
-        exfil_score(F.col("outbound_bytes"), th).alias("data_exfiltration_score"),
-        unusual_score(F.col("icmp_packets"), n, F.col("odd_packets"), th).alias("unusual_protocol_score"),
-        *[(F.col(f"{p}_packets") / n).alias(f"{p}_ratio") for p in ("tcp", "udp", "icmp", "arp")],
+        exfil_score(F.col("outbound"), th).alias("data_exfiltration_score"),
+        unusual_score(F.col("icmp"), n, F.col("odd"), th).alias("unusual_protocol_score"),
+        *[(F.col(p) / n).alias(f"{p}_ratio") for p in ("tcp", "udp", "icmp", "arp")],
     )
 
 
