@@ -57,6 +57,8 @@ def test_train_evaluate_save_load(spark, cloud):
     s = mo.ModelSettings(trees=10, enabled=("random_forest", "isolation_forest", "one_class_svm", "logistic_regression"))
     models, table = mo.train_all(cloud, FEATURES, s)
     f1 = {r.model: r.f1_score for r in table.collect()}
+    info = {r.model: r.auc_roc for r in table.collect()}
+    assert info["random_forest"] > 0.99 and info["isolation_forest"] is None
     assert f1["random_forest"] > 0.97 and f1["isolation_forest"] > 0.85
     assert mo.auc("random_forest", models["random_forest"], cloud) > 0.99
     path = scratch_path(spark, "test-models")
