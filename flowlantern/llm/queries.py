@@ -39,3 +39,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held), settings)
     return (toxicity.score(docs.select("doc_id", "text"), model)
             .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted")))
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id among its near duplicates; kept marks that one."""
+    from flowlantern.llm import order_minhash
+
+    found = order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
