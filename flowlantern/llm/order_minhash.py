@@ -96,6 +96,10 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return s if s >= least else 0.0
 
 
+BLOCK = 1000
+FEW = 32
+
+
 def labelled(sh: np.ndarray) -> np.ndarray:
     """Shingles made distinct by how often they occurred before, so that sets of them intersect like multisets."""
     order = np.argsort(sh, kind="stable")
@@ -108,8 +112,7 @@ def labelled(sh: np.ndarray) -> np.ndarray:
 
 
 def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Index pairs of similar sequences with different roots. Counts of common shingles come from products of incidence matrices over
-    the shared shingles; only pairs whose count allows the similarity are aligned."""
+    """Index pairs of similar sequences with different roots. Common shingles are counted for all pairs at once; only pairs whose count allows the similarity are aligned."""
     n = np.array([len(x) for x in seqs])
     owner = np.repeat(np.arange(len(seqs)), n)
     ids, inv, count = np.unique(np.concatenate([labelled(x) for x in seqs]), return_inverse=True, return_counts=True)
@@ -118,17 +121,27 @@ def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY)
     col, row = shared[inv[keep]], owner[keep]
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
+    degree = count[inv][keep][order]
     common = np.zeros((len(seqs), len(seqs)), np.float32)
-    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
-        lo, hi = np.searchsorted(col, [c, c + 2048])
-        x = np.zeros((len(seqs), 2048), np.float32)
-        x[row[lo:hi], col[lo:hi] - c] = 1
+    rare = degree < FEW  # pairs of owners, counted one by one
+    c, r = col[rare], row[rare]
+    for k in range(1, FEW):
+        at = np.flatnonzero(c[k:] == c[:-k]) if k < len(c) else np.zeros(0, np.int64)
+        if not len(at):
+            break
+        np.add.at(common, (r[at], r[at + k]), 1)
+    common += common.T
+    often, c = np.unique(col[~rare], return_inverse=True)  # at most one in FEW of all entries: products of dense blocks
+    r = row[~rare]
+    for lo in range(0, len(often), 1024):
+        here = (c >= lo) & (c < lo + 1024)
+        x = np.zeros((len(seqs), min(1024, len(often) - lo)), np.float32)
+        x[r[here], c[here] - lo] = 1
         common += x @ x.T
     may = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (roots[:, None] != roots[None, :])
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(may, 1))) if aligned(seqs[i], seqs[j], least) > 0]
 
 
-BLOCK = 1000
 
 
 def _aligned_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:

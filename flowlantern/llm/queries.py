@@ -48,3 +48,28 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_token_store")
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the written shards."""
+    from flowlantern.llm import token_store
+    from flowlantern.session import scratch_path
+
+    path = scratch_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path, _vocabulary(), end=0)
+    return token_store.scan(spark, path).withColumnRenamed("key", "doc_id")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in sequences of 2048 tokens."""
+    from flowlantern.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"), _vocabulary(), end=1)
