@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlantern.llm import blocks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +24,6 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from flowlantern.llm import blocks
-
     blocks.small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -73,3 +73,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import packing
 
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary(), end=1)
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, benchmark_items (ids of items with a passage in the text), contaminated."""
+    from flowlantern.llm import decontaminate
+
+    found = decontaminate.flagged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "benchmark_items", (F.size("benchmark_items") > 0).alias("contaminated"))
+
+
+SURROGATE_KEY = b"surrogates"  # of the checks; a real corpus takes a secret one
+
+
+@query("op3_surrogates")
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates in place of personal data, n_entities."""
+    from flowlantern.llm import surrogates
+
+    return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
