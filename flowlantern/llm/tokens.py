@@ -9,7 +9,7 @@ import numpy as np
 
 from flowlantern.llm import blocks
 
-CACHE = 1 << 20  # distinct cuts remembered by a worker
+CACHE = 3 << 20  # distinct cuts remembered by a worker
 _cut_after = np.zeros(256, bool)
 _cut_after[0x21:0x7F] = True
 _loaded: dict[str, "Encoder"] = {}
@@ -21,10 +21,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)}
+        self.raw_marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self):
-        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
+
+    def _new(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct cuts. Many are encoded in one call with a special token between them, at which ids are split."""
+        special = next((t for t, i in self.marks.items()), None)
+        ids, sizes = [], np.zeros(len(texts), np.int64)
+        mark = special.encode() if special else b""
+        plain = [i for i, t in enumerate(texts) if special and not any(m in t for m in self.raw_marks)]
+        other = sorted(set(range(len(texts))) - set(plain))
+        got: list[tuple[int, np.ndarray]] = []
+        groups = [plain[k:k + 512] for k in range(0, len(plain), 512)]
+        found = self.tokenizer.encode_batch_fast([mark.join(texts[i] for i in g).decode() for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, found):
+            x = np.array(e.ids, self.ids.dtype)
+            at = np.flatnonzero(x == self.marks[special])
+            n = np.diff(np.concatenate(([-1], at, [len(x)]))) - 1
+            if len(n) != len(g):
+                other += g
+                continue
+            sizes[g] = n
+            got.append((g[0], np.delete(x, at)))
+        for i in other:
+            x = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, self.ids.dtype)
+            sizes[i] = len(x)
+            got.append((i, x))
+        if other:  # put single cuts back in order
+            whole = np.zeros(int(sizes.sum()), self.ids.dtype)
+            start = np.cumsum(sizes) - sizes
+            alone = set(other)
+            for g, e in zip(groups, found):
+                if g and g[0] not in alone:
+                    x = np.array(e.ids, self.ids.dtype)
+                    whole[blocks.ranges(start[g], sizes[g])] = x[x != self.marks[special]]
+            for i, x in got:
+                if i in alone:
+                    whole[start[i]:start[i] + len(x)] = x
+            return whole, sizes
+        return np.concatenate([x for _, x in got]) if got else self.ids[:0], sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (uint32) and their offsets (n + 1)."""
@@ -40,7 +80,11 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         keys = blocks.span_hash(blocks.prefix_hash(data), starts, ends)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        distinct, first, back = ranked[fresh], order[fresh], np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         at = np.searchsorted(self.keys, distinct)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == distinct[known]
@@ -50,18 +94,16 @@ class Encoder:
                 known[:] = False
             new = np.flatnonzero(~known)
             raw = data.tobytes()
-            texts = [raw[starts[i]:ends[i]].decode() for i in first[new].tolist()]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            found, sizes = self._new([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             keys_ = np.concatenate([self.keys, distinct[new]])
-            starts_ = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            starts_ = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.uint32)])
             order = np.argsort(keys_)
             self.keys, self.starts = keys_[order], starts_[order]
-            self.sizes = np.concatenate([self.sizes, sizes])[order]
-            self.ids = np.concatenate([self.ids, *found])
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.uint32)])[order]
+            self.ids = np.concatenate([self.ids, found])
             at = np.searchsorted(self.keys, distinct)
-        sizes = self.sizes[at][back]
-        ids = self.ids[blocks.ranges(self.starts[at][back], sizes)]
+        sizes = self.sizes[at].astype(np.int64)[back]
+        ids = self.ids[blocks.ranges(self.starts[at].astype(np.int64)[back], sizes)].astype(np.uint32)
         total = np.concatenate(([0], np.cumsum(sizes)))
         return ids, total[np.searchsorted(starts, offsets)]
 
