@@ -1,5 +1,5 @@
-"""Token ids of whole texts. Texts are cut where the tokenizer's own pattern always cuts (before a single blank between two visible
-characters), each distinct cut is encoded once per worker, and ids are put together again: equal to encoding the whole text."""
+"""Token ids of whole texts. Texts are cut where a byte-level tokenizer's own pattern always cuts (before a single blank between two
+visible characters, and between a letter and a sign), each distinct cut is encoded once per worker, and ids are put together again: equal to encoding the whole text."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from flowlantern.llm import blocks
 CACHE = 3 << 20  # distinct cuts remembered by a worker
 _cut_after = np.zeros(256, bool)
 _cut_after[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -23,6 +25,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)}
         self.raw_marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # signs that no contraction and no special token has in it
+        self.signs = np.zeros(256, bool)
+        self.signs[[c for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" if not any(c in m for m in self.raw_marks)]] = True
         self._clear()
 
     def _clear(self):
@@ -74,8 +79,10 @@ class Encoder:
         cut = np.zeros(n, bool)
         # a letter of the block of Latin letters with accents (lead byte 0xC3) is visible, too
         latin = np.zeros(n, bool)
-        latin[1:] = data[:-1] == 0xC3
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # these two are signs
         cut[1:-1] = (data[1:-1] == 0x20) & (_cut_after[data[:-2]] | latin[:-2]) & (_cut_after[data[2:]] | (data[2:] == 0xC3))
+        # a letter run always ends before these signs
+        cut[1:] |= self.signs[data[1:]] & (_LETTER[data[:-1]] | latin[:-1])
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
