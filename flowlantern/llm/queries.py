@@ -93,3 +93,11 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import surrogates
 
     return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 after removing windows of 13 words that an earlier document has."""
+    from flowlantern.llm import debruijn
+
+    return debruijn.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
