@@ -101,3 +101,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import debruijn
 
     return debruijn.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 after removing strings of 100 bytes that start earlier."""
+    from flowlantern.llm import suffix_dedup
+
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
