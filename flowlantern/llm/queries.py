@@ -109,3 +109,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import suffix_dedup
 
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op8_context_tree")
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: six of seven ids teach, all documents are scored."""
+    from flowlantern.llm import ctw
+
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return ctw.scored(table(spark, sf_dir, "documents"), rest != 2).withColumn("held_out", F.coalesce(rest == 2, F.lit(False))).drop("learn")
