@@ -118,3 +118,11 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     return ctw.scored(table(spark, sf_dir, "documents"), rest != 2).withColumn("held_out", F.coalesce(rest == 2, F.lit(False))).drop("learn")
+
+
+@query("op6_graph_search")
+def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten nearest of every vector whose id is divisible by 100."""
+    from flowlantern.llm import graph_ann
+
+    return graph_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
