@@ -25,6 +25,8 @@ SHARD = 4000
 EXACT = 64
 DEGREE = 32
 BEAM = 64
+QUERY_BEAM = 128
+ENTRIES = 32
 ALPHA = 1.2
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -35,14 +37,15 @@ def _distances(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ijk,ijk->ij", d, d)
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, links: np.ndarray, start: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Nearest rows found for all queries at once: (rows, squared distances), nearest first; -1 where fewer were reached."""
     n = len(q)
     rows = np.full((n, beam), -1)
     dist = np.full((n, beam), np.inf, np.float32)
     done = np.zeros((n, beam), bool)
-    rows[:, 0] = start
-    dist[:, 0] = _distances(x, rows[:, :1], q)[:, 0]
+    m = min(len(start), beam)
+    rows[:, :m] = start[:m]
+    dist[:, :m] = _distances(x, rows[:, :m], q)
     active = np.arange(n)
     while len(active):
         open_ = np.where((rows[active] >= 0) & ~done[active], dist[active], np.inf)
@@ -91,15 +94,17 @@ def pruned(x: np.ndarray, points: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Links (n x DEGREE, -1: none) and the entry point, the vector nearest to the mean."""
+def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (n x DEGREE, -1: none) and the entry points: the vector nearest to the mean, which may lie in a dense cluster that no link
+    leaves, and ENTRIES - 1 random ones."""
     n = len(x)
     links = np.full((n, DEGREE), -1)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if n else 0
+    middle = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if n else 0
     order = np.random.default_rng(7).permutation(n)
-    order = np.concatenate(([start], order[order != start]))
+    order = np.concatenate(([middle], order[order != middle])) if n else order
+    start = order[:ENTRIES]
     for turn in range(2):  # the second turn links the early ones to what came after them
-        at, size = (1, 1) if turn == 0 else (0, 512)
+        at, size = (len(start), len(start)) if turn == 0 else (0, 512)
         while at < n:
             new = order[at:at + min(size, 512)]
             found, _ = beam_search(x, links, start, x[new], BEAM)
@@ -119,7 +124,7 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     return links, start
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, beam: int = BEAM, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, beam: int = QUERY_BEAM, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that ``queries`` selects, against all other rows."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
