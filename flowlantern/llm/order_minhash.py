@@ -112,7 +112,7 @@ def labelled(sh: np.ndarray) -> np.ndarray:
 
 
 def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Index pairs of similar sequences with different roots. Common shingles are counted for all pairs at once; only pairs whose count allows the similarity are aligned."""
+    """Index pairs of similar sequences that connect different roots. Common shingles are counted for all pairs at once; only pairs whose count allows the similarity are aligned."""
     n = np.array([len(x) for x in seqs])
     owner = np.repeat(np.arange(len(seqs)), n)
     ids, inv, count = np.unique(np.concatenate([labelled(x) for x in seqs]), return_inverse=True, return_counts=True)
@@ -139,7 +139,23 @@ def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY)
         x[r[here], c[here] - lo] = 1
         common += x @ x.T
     may = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (roots[:, None] != roots[None, :])
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(may, 1))) if aligned(seqs[i], seqs[j], least) > 0]
+    # a pair that is connected already adds nothing to the classes
+    parent = list(range(int(roots.max()) + 1))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i in range(len(seqs)):
+        for j in np.flatnonzero(may[i, i + 1:]).tolist():
+            a, b = top(int(roots[i])), top(int(roots[i + 1 + j]))
+            if a != b and aligned(seqs[i], seqs[i + 1 + j], least) > 0:
+                parent[a] = b
+                out.append((i, i + 1 + j))
+    return out
 
 
 
