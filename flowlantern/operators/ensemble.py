@@ -55,18 +55,18 @@ def detections(votes: DataFrame, samples: DataFrame, method: str = "majority_vot
         F.create_map(F.lit("source_ip"), "src_ip", F.lit("target_ip"), "dst_ip").alias("metadata"))
 
 
-EMA_ROWS = 400  # 0.9 ** 400 < 1e-18: earlier rows weigh less than the last bit of a double
-
-
 def moving_average(df: DataFrame, cols: list[str], th: Thresholds = DEFAULTS) -> DataFrame:
     """Exponential moving averages from 0, in (ts_us, pid) order, as one row.
 
-    Closed form: the k-th newest row weighs a * (1 - a) ** (k - 1). A top-k by time finds the rows that matter.
+    Closed form: the k-th newest row weighs a * (1 - a) ** (k - 1), over all rows. The place of a row is its place within its second
+    plus the rows of later seconds, so rows are only ordered within seconds and one counter per second is ordered as a whole.
     """
     a = th.ema_alpha
-    last = df.select("ts_us", "pid", *cols).orderBy(F.desc("ts_us"), F.desc("pid")).limit(EMA_ROWS)
-    age = F.row_number().over(Window.orderBy(F.desc("ts_us"), F.desc("pid"))) - 1
-    return last.withColumn("weight", a * F.pow(F.lit(1 - a), age)).agg(
+    rows = df.select("ts_us", "pid", *cols).withColumn("second", F.floor(F.col("ts_us") / SECOND))
+    later = rows.groupBy("second").agg(F.count("*").alias("n"))
+    later = later.withColumn("later", F.sum("n").over(Window.orderBy(F.desc("second"))) - F.col("n")).select("second", "later")
+    age = F.row_number().over(Window.partitionBy("second").orderBy(F.desc("ts_us"), F.desc("pid"))) - 1 + F.col("later")
+    return rows.join(later, "second").withColumn("weight", a * F.pow(F.lit(1 - a), age)).agg(
         *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
 
 

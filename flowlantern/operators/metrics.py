@@ -10,7 +10,7 @@ from flowlantern.functions.net import ratio
 
 def hash_percent(pid: Column) -> Column:
     """0..100, spread evenly over ids: decides splits and folds without a shuffle and the same way every run."""
-    return F.floor((pid * 2654435761 % 4294967296) / 42949673).cast("bigint")
+    return F.floor((F.pmod(pid, F.lit(1 << 31)) * 2654435761 % 4294967296) / 42949673).cast("bigint")
 
 
 def is_train(pid: Column, percent: int = 80) -> Column:

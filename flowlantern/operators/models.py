@@ -135,6 +135,8 @@ def cross_validate(df: DataFrame, estimator: Pipeline, grid: list | None = None,
 def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name: str = "random_forest", folds: int = 5,
                 s: ModelSettings = ModelSettings()) -> tuple[object, DataFrame]:
     """(best model, table of parameters with their mean score and whether they won)."""
+    if name not in ("random_forest", "logistic"):
+        raise ValueError(f"no search for {name}: random_forest and logistic can be tuned")
     tr, te = split(df)
     pipe = random_forest(features, s) if name == "random_forest" else logistic_regression(features, tr.count(), s)
     est, builder = pipe.getStages()[-1], ParamGridBuilder()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -102,9 +101,9 @@ def compile_rules(frame: DataFrame) -> list[Rule]:
         d["conditions"] = json.loads(d["conditions"] or "{}")
         d["pattern"] = d["pattern"] or ""
         if d["pattern_type"] == "regex":
-            try:
-                re.compile(d["pattern"])
-            except re.error:
+            try:  # by the engine that will run it
+                frame.sparkSession._jvm.java.util.regex.Pattern.compile(d["pattern"])
+            except Exception:
                 continue
         out.append(Rule(**d))
     return out

@@ -107,7 +107,8 @@ def _match_oracle():
     return "\nUNION ALL ".join(parts)
 
 
-_RULES = ("port_scan_basic", "syn_flood", "dns_amplification", "ssh_brute_force")
+_RULES = ("port_scan_basic", "port_scan_aggressive", "syn_flood", "udp_flood", "icmp_flood", "dns_amplification", "ssh_brute_force",
+          "rdp_brute_force")
 
 
 @query("streaming_matches", _match_oracle(), ("packets",))
