@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from flowlantern.llm import blocks
 from flowlantern.llm.graph import stored
 
-DEPTH = 6
+DEPTH = 5
 END, BEFORE = 0xFF, 0xFE  # bytes that no UTF-8 text has
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -141,7 +141,7 @@ class Tree:
 
 def _totals(group):
     part = [np.frombuffer(x, U) for x in group.column("keys").to_pylist()]
-    return _counted(np.concatenate(part), np.concatenate([np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()])), part
+    return _counted(np.concatenate(part), np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])), part
 
 
 def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
             cuts = [order[x:y] for x, y in zip(at, np.append(at[1:], len(order)))]
             out.append(pa.table({"kind": pa.array([kind] * len(own), pa.int32()), "bucket": pa.array(own, pa.int32()),
                                  "b": pa.array([key[0].as_py()] * len(own), pa.int32()), "keys": pa.array([k[x].tobytes() for x in cuts], pa.binary()),
-                                 "counts": pa.array([c[x].tobytes() for x in cuts], pa.binary())}))
+                                 "counts": pa.array([c[x].astype(np.int32).tobytes() for x in cuts], pa.binary())}))
         return pa.concat_tables(out)
 
     def top(key, group):
@@ -207,7 +207,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     def answer(key, group):
         (keys, counts), part = _totals(group)
         kind = key[0].as_py()
-        value = counts.astype(np.float64) if kind == 0 else Tree(keys, counts, 2).log10(keys, levels)
+        value = counts if kind == 0 else Tree(keys, counts, 2).log10(keys, levels).astype(np.float32)
         return pa.table({"b": group.column("b"), "kind": group.column("kind"), "keys": group.column("keys"),
                          "values": pa.array([value[np.searchsorted(keys, x)].tobytes() for x in part], pa.binary())})
 
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
         look = []
         for x in (0, 1):
             k = np.concatenate([np.zeros(0, U), *(np.frombuffer(k_[i], U) for i in np.flatnonzero(kind == x))])
-            v = np.concatenate([np.zeros(0), *(np.frombuffer(v_[i]) for i in np.flatnonzero(kind == x))])
+            v = np.concatenate([np.zeros(0), *(np.frombuffer(v_[i], (np.int64, np.float32)[x]) for i in np.flatnonzero(kind == x))])
             order = np.argsort(k)
             look.append((k[order], v[order]))
         out = [[] for _ in range(5)]
