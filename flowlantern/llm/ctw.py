@@ -8,7 +8,8 @@ training left. Texts are read in lower case (A-Z), preceded by a byte of their o
 Training counts travel as packed arrays of distinct keys: documents are dealt to batches of bounded size, a batch sends its
 (context, byte) codes and words with their training counts to buckets. Codes are dealt by the two last context bytes, so a bucket
 has whole subtrees; the tree above them has at most 256 * 255 nodes per level and is the only thing the driver sees. Buckets then answer
-each batch with the probability of each of its codes and the count of each of its words. No table grows on one machine.
+each batch with the probability of each of its codes and the count of each of its words, in the order asked; the batch, which has
+its texts at hand, finds its keys anew, so that no key travels back. No table grows on one machine.
 
 The base score is add-one over words: sum of log10((c + 1) / (N + V + 1)) over words and one end.
 
@@ -22,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ DEPTH = 5
 END, BEFORE = 0xFF, 0xFE  # bytes that no UTF-8 text has
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_ASK = "kind int, bucket int, b int, keys binary, counts binary"
+_ASK = "kind int, bucket int, b int, n int, keys binary, counts binary"
 _TOP = "last int, node int, zeros double, ones double, weighted double, tokens long, distinct long"
-_ANSWER = "b int, kind int, keys binary, values binary"
+_ANSWER = "b int, kind int, bucket int, n int, values binary"
 U = np.uint64
 _SMALL = 256
 _TABLE = np.array([[math.lgamma(i + 0.5) for i in range(_SMALL)], [math.lgamma(i + 1.0) for i in range(_SMALL)]])
@@ -77,6 +79,26 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[first], np.add.reduceat(weight[order].astype(np.int64), first)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of one width, compressed plane by plane: high bytes are nearly constant."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as steps."""
+    return packed(np.diff(keys, prepend=U(0)))
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, U), dtype=U)
+
+
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, first = blocks.words(data, offsets)
     return blocks.span_hash(blocks.prefix_hash(_FOLD[data]), s, e), first
@@ -140,8 +162,23 @@ class Tree:
 
 
 def _totals(group):
-    part = [np.frombuffer(x, U) for x in group.column("keys").to_pylist()]
-    return _counted(np.concatenate(part), np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])), part
+    n = group.column("n").to_pylist()
+    part = [unpacked_keys(x, m) for x, m in zip(group.column("keys").to_pylist(), n)]
+    return _counted(np.concatenate(part), np.concatenate([unpacked(x, m, np.int32) for x, m in zip(group.column("counts").to_pylist(), n)])), part
+
+
+def _dealt(table, n: int):
+    """For words and for codes of a batch: rising distinct keys, training counts, and the places of each bucket's keys."""
+    for kind, find in enumerate((word_keys, codes)):
+        found = [(np.zeros(0, U), np.zeros(0, np.int64))]
+        for _, _, data, offsets, take in _slices(table):
+            k, at = find(data, offsets)
+            found.append(_counted(k, np.repeat(take, np.diff(at))))
+        k, c = _counted(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+        bucket = ((k >> U(32) if kind == 0 else blocks.mix(k >> U(8 * (DEPTH - 1)))) % U(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, at = np.unique(bucket[order], return_index=True)
+        yield k, c, dict(zip(own.tolist(), (order[x:y] for x, y in zip(at, np.append(at[1:], len(order))))))
 
 
 def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -152,21 +189,13 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def ask(key, table):
-        found = [[(np.zeros(0, U), np.zeros(0, np.int64))], [(np.zeros(0, U), np.zeros(0, np.int64))]]
-        for _, _, data, offsets, take in _slices(table):
-            for kind, (k, at) in enumerate((word_keys(data, offsets), codes(data, offsets))):
-                found[kind].append(_counted(k, np.repeat(take, np.diff(at))))
         out = []
-        for kind in (0, 1):
-            k, c = _counted(np.concatenate([x for x, _ in found[kind]]), np.concatenate([x for _, x in found[kind]]))
-            deal = k >> U(32) if kind == 0 else blocks.mix(k >> U(8 * (DEPTH - 1)))
-            bucket = (deal % U(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            own, at = np.unique(bucket[order], return_index=True)
-            cuts = [order[x:y] for x, y in zip(at, np.append(at[1:], len(order)))]
-            out.append(pa.table({"kind": pa.array([kind] * len(own), pa.int32()), "bucket": pa.array(own, pa.int32()),
-                                 "b": pa.array([key[0].as_py()] * len(own), pa.int32()), "keys": pa.array([k[x].tobytes() for x in cuts], pa.binary()),
-                                 "counts": pa.array([c[x].astype(np.int32).tobytes() for x in cuts], pa.binary())}))
+        for kind, (k, c, cuts) in enumerate(_dealt(table, n)):
+            out.append(pa.table({
+                "kind": pa.array([kind] * len(cuts), pa.int32()), "bucket": pa.array(list(cuts), pa.int32()),
+                "b": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "n": pa.array([len(x) for x in cuts.values()], pa.int32()),
+                "keys": pa.array([packed_keys(k[x]) for x in cuts.values()], pa.binary()),
+                "counts": pa.array([packed(c[x].astype(np.int32)) for x in cuts.values()], pa.binary())}))
         return pa.concat_tables(out)
 
     def top(key, group):
@@ -208,18 +237,17 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
         (keys, counts), part = _totals(group)
         kind = key[0].as_py()
         value = counts if kind == 0 else Tree(keys, counts, 2).log10(keys, levels).astype(np.float32)
-        return pa.table({"b": group.column("b"), "kind": group.column("kind"), "keys": group.column("keys"),
-                         "values": pa.array([value[np.searchsorted(keys, x)].tobytes() for x in part], pa.binary())})
+        return pa.table({"b": group.column("b"), "kind": group.column("kind"), "bucket": group.column("bucket"), "n": group.column("n"),
+                         "values": pa.array([packed(value[np.searchsorted(keys, x)]) for x in part], pa.binary())})
 
     def finish(key, table, known):
-        kind = np.array(known.column("kind").to_pylist())
-        k_, v_ = known.column("keys").to_pylist(), known.column("values").to_pylist()
+        told = {(k, x): (v, m) for k, x, v, m in zip(*(known.column(c).to_pylist() for c in ("kind", "bucket", "values", "n")))}
         look = []
-        for x in (0, 1):
-            k = np.concatenate([np.zeros(0, U), *(np.frombuffer(k_[i], U) for i in np.flatnonzero(kind == x))])
-            v = np.concatenate([np.zeros(0), *(np.frombuffer(v_[i], (np.int64, np.float32)[x]) for i in np.flatnonzero(kind == x))])
-            order = np.argsort(k)
-            look.append((k[order], v[order]))
+        for kind, (k, _, cuts) in enumerate(_dealt(table, n)):
+            v = np.zeros(len(k))
+            for x, at in cuts.items():
+                v[at] = unpacked(*told[kind, x], (np.int64, np.float32)[kind])
+            look.append((k, v))
         out = [[] for _ in range(5)]
         less = math.log10(tokens + kinds + 1)
         for _, _, data, offsets, _ in _slices(table):

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import math
 import numpy as np
 import pytest
 
@@ -151,6 +152,47 @@ def test_context_tree_probabilities(docs):
     assert {r["n_tokens"] for r in out if r["n_tokens"] == 1}
 
 
+def test_context_tree_by_recursion(spark):
+    texts = {1: "abab ABBA", 2: "cab bac", 3: None, 4: "", 5: "abba cab é", 6: "zebra"}
+    got = {r["doc_id"]: r for r in ctw.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ctw.F.col("doc_id") < 5).collect()}
+    raw = {i: bytes([ctw.BEFORE] * ctw.DEPTH) + (t or "").lower().encode() + bytes([ctw.END]) for i, t in texts.items()}
+    seen: dict = {}  # (context, latest byte first; bits of the byte so far) -> zeros and ones
+    for t in (raw[i] for i in range(1, 5)):
+        for at in range(ctw.DEPTH, len(t)):
+            bits = f"{t[at]:08b}"
+            for d in range(ctw.DEPTH + 1):
+                for k in range(8):
+                    seen.setdefault((t[at - d:at][::-1], bits[:k]), [0, 0])[int(bits[k])] += 1
+
+    def estimate(c):
+        return math.lgamma(c[0] + .5) + math.lgamma(c[1] + .5) - math.lgamma(sum(c) + 1) - math.log(math.pi)
+
+    def weighted(context, bits):
+        own = estimate(seen[context, bits])
+        if len(context) == ctw.DEPTH:
+            return own
+        below = sum(weighted(context + bytes([x]), bits) for x in range(256) if (context + bytes([x]), bits) in seen)
+        return np.logaddexp(own, below) - math.log(2)
+
+    def chance(context, bits, bit):
+        c, q = [0, 0], 0.5
+        for d in range(ctw.DEPTH, -1, -1):
+            c = seen.get((context[:d], bits), [0, 0])
+            p = (c[int(bit)] + .5) / (sum(c) + 1)
+            w = 1.0 if d == ctw.DEPTH else 0.5 if sum(c) == 0 else math.exp(estimate(c) - math.log(2) - weighted(context[:d], bits))
+            q = w * p + (1 - w) * q
+        return q
+
+    words = [w for i in range(1, 5) for w in [*(texts[i] or "").lower().split(), None]]
+    for i, t in raw.items():
+        want = sum(math.log10(chance(t[at - ctw.DEPTH:at][::-1], f"{t[at]:08b}"[:k], f"{t[at]:08b}"[k])) for at in range(ctw.DEPTH, len(t)) for k in range(8))
+        assert abs(got[i]["score"] - want) < 1e-4, (i, got[i]["score"], want)
+        own = [*(texts[i] or "").lower().split(), None]
+        base = sum(math.log10((words.count(w) + 1) / (len(words) + len(set(words)) + 1)) for w in own)
+        assert abs(got[i]["base_score"] - base) < 1e-9 and got[i]["n_tokens"] == len(own) and got[i]["train_tokens"] == len(words)
+        assert got[i]["n_known"] == sum(w in words for w in own)
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 16))
