@@ -168,17 +168,25 @@ def _totals(group):
 
 
 def _dealt(table, n: int):
-    """For words and for codes of a batch: rising distinct keys, training counts, and the places of each bucket's keys."""
+    """For words and for codes of a batch: rising distinct keys, training counts, the places of each bucket's keys, and for each
+    slice of texts their offsets, distinct keys and the place of every key among these."""
     for kind, find in enumerate((word_keys, codes)):
-        found = [(np.zeros(0, U), np.zeros(0, np.int64))]
+        found, texts = [(np.zeros(0, U), np.zeros(0, np.int64))], []
         for _, _, data, offsets, take in _slices(table):
             k, at = find(data, offsets)
-            found.append(_counted(k, np.repeat(take, np.diff(at))))
+            order = np.argsort(k)
+            k = k[order]
+            new = np.concatenate(([True], k[1:] != k[:-1]))[:len(k)]
+            place = np.empty(len(k), np.int32)
+            place[order] = np.cumsum(new, dtype=np.int32) - 1
+            own = k[new]
+            found.append((own, np.bincount(place, np.repeat(take, np.diff(at)), len(own)).astype(np.int64)))
+            texts.append((at, own, place))
         k, c = _counted(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
         bucket = ((k >> U(32) if kind == 0 else blocks.mix(k >> U(8 * (DEPTH - 1)))) % U(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         own, at = np.unique(bucket[order], return_index=True)
-        yield k, c, dict(zip(own.tolist(), (order[x:y] for x, y in zip(at, np.append(at[1:], len(order))))))
+        yield k, c, dict(zip(own.tolist(), (order[x:y] for x, y in zip(at, np.append(at[1:], len(order)))))), texts
 
 
 def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -190,7 +198,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
 
     def ask(key, table):
         out = []
-        for kind, (k, c, cuts) in enumerate(_dealt(table, n)):
+        for kind, (k, c, cuts, _) in enumerate(_dealt(table, n)):
             out.append(pa.table({
                 "kind": pa.array([kind] * len(cuts), pa.int32()), "bucket": pa.array(list(cuts), pa.int32()),
                 "b": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "n": pa.array([len(x) for x in cuts.values()], pa.int32()),
@@ -243,25 +251,22 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     def finish(key, table, known):
         told = {(k, x): (v, m) for k, x, v, m in zip(*(known.column(c).to_pylist() for c in ("kind", "bucket", "values", "n")))}
         look = []
-        for kind, (k, _, cuts) in enumerate(_dealt(table, n)):
+        for kind, (k, _, cuts, texts) in enumerate(_dealt(table, n)):
             v = np.zeros(len(k))
             for x, at in cuts.items():
                 v[at] = unpacked(*told[kind, x], (np.int64, np.float32)[kind])
-            look.append((k, v))
+            look.append([(at, v[np.searchsorted(k, own)], place) for at, own, place in texts])
         out = [[] for _ in range(5)]
         less = math.log10(tokens + kinds + 1)
-        for _, _, data, offsets, _ in _slices(table):
-            w, first = word_keys(data, offsets)
-            c = look[0][1][np.searchsorted(look[0][0], w)] if len(w) else np.zeros(0)
-            x, at = codes(data, offsets)
-            lp = look[1][1][np.searchsorted(look[1][0], x)]
+        for (first, known_words, word), (at, known_codes, code) in zip(*look):
+            c, lp = known_words[word], known_codes[code]
             total = lambda v, at: np.diff(np.concatenate(([0], np.cumsum(v)))[at])
             m = np.diff(first) + 1
             out[0].append(m)
             out[1].append(total(c > 0, first).astype(np.int64) + (ends > 0))
             out[2].append(total(np.log10(c + 1), first) + math.log10(ends + 1) - m * less)
             out[3].append(np.add.reduceat(lp, at[:-1]))
-            out[4].append(np.diff(offsets))
+            out[4].append(np.diff(at) - 1)
         m, known_, base, score, size = (np.concatenate(x) for x in out)
         return pa.table({"doc_id": table.column("doc_id"), "learn": table.column("learn"), "n_tokens": pa.array(m, pa.int64()), "n_known": pa.array(known_, pa.int64()),
                          "train_tokens": pa.array(np.full(len(m), tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(score),
