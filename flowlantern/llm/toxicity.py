@@ -48,6 +48,7 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -30.0
+    frame: int = 0
     level: int = 3
 
 
@@ -78,7 +79,19 @@ def _lengths(c: zstd.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _frame(toxic: zstd.ZstdCompressor, texts: list[bytes]) -> int:
+    """Bytes that every window spends on its frame: the median loss over all windows of ordinary texts. It belongs to the model, so that a
+    text's score does not depend on the texts beside it."""
+    losses = [np.zeros(0, np.int32)]
+    for i in range(0, len(texts), 200):
+        part = texts[i:i + 200]
+        windows, _ = _windows(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
+        losses.append(_lengths(toxic, windows) - np.fromiter(map(len, windows), np.int32, len(windows)) + len(MARKER))
+    losses = np.concatenate(losses)
+    return max(0, int(np.median(losses))) if len(losses) else 0
+
+
+def features(toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor, data: np.ndarray, offsets: np.ndarray, frame: int) -> np.ndarray:
     """Per text: windows whose gain reaches each level, relative to the root of the window count and by themselves; largest gain."""
     windows, at = _windows(data, offsets)
     n = len(offsets) - 1
@@ -87,9 +100,7 @@ def features(toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor, data: np
         return out
     short, plain = _lengths(toxic, windows), np.fromiter(map(len, windows), np.int32, len(windows)) - len(MARKER)
     versus = _lengths(ordinary, windows) - short
-    gain = plain - short
-    base = np.int32(np.median(gain[:2000])) if len(gain) else 0  # bytes that every window spends on its frame
-    gain = gain - base if base < 0 else gain
+    gain = plain - short + frame
     full = np.flatnonzero(np.diff(at))
     count = np.diff(at)[full]
     root = np.sqrt(np.maximum(count, 5))
@@ -147,10 +158,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, settings: Settings = Settings())
     m.toxic = b" " + b" ".join(sorted(marked, key=lambda w: (vb[w], w)))[-size:]
     m.ordinary = b" " + b" ".join(sorted((w for w, c in vg.items() if c >= 3), key=lambda w: (vg[w], w)))[-size:]
     ct, co = _compressor(m.toxic, m.level), _compressor(m.ordinary, m.level)
+    m.frame = _frame(ct, [t for t, v in zip(texts, y) if v == 0])
     rows = []
     for i in range(0, len(texts), 200):
         part = texts[i:i + 200]
-        rows.append(features(ct, co, np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])))
+        rows.append(features(ct, co, np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), m.frame))
     x = np.concatenate(rows)
     m.mean, m.scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([(x - m.mean) / m.scale, np.ones((len(x), 1))])
@@ -177,13 +189,13 @@ def fit(texts: list[bytes], toxic: np.ndarray, settings: Settings = Settings())
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), text: str = "text") -> tuple[list[bytes], np.ndarray]:
     """The labelled rows to learn from: of each class the ``sample_rows`` ids of smallest hash, without texts above ``sample_text``.
 
-    The ids are picked from the labels alone and are few, so no text is shuffled.
+    The ids are picked from the labels alone and are few, so only the sample is shuffled; of rows with one id the smallest text counts.
     """
     seen = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     ids = [seen.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows) for k in (1, 0)]
     rows = (docs.select("doc_id", F.col(text).alias("text")).where(F.octet_length("text") <= settings.sample_text)
-            .join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").collect())
+            .join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: (-r["toxic"], r["doc_id"], r["text"]))
     return [r["text"].encode() for r in rows], np.array([r["toxic"] for r in rows], float)
 
@@ -205,7 +217,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", text: str = "tex
                 if len(model.weights) == 0:
                     break
                 at = offsets[a:b + 1]
-                x = features(ct, co, data[at[0]:at[-1]], at - at[0])
+                x = features(ct, co, data[at[0]:at[-1]], at - at[0], model.frame)
                 p = ((x - model.mean) / model.scale) @ model.weights + model.bias
                 out[a:b] = np.where(x[:, -1] > 0, 1 / (1 + np.exp(-np.clip(p, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, column])

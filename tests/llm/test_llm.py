@@ -1,10 +1,10 @@
 """Training-data operators against brute force, on small fixtures with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
-import math
 import numpy as np
 import pytest
 
@@ -214,3 +214,7 @@ def test_toxicity_cases(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
     assert got[900] == got[901] == 0 and all((got[i] >= 0.7) == (i % 4 == 0) for i in range(150, 200))
+    # a text scores alike whatever stands beside it, and rows with one id count once
+    model = toxicity.train(d.union(d.where("doc_id < 20")), labels)
+    alone = toxicity.score(d.where("doc_id = 160"), model).collect()[0]["score"]
+    assert alone == got[160]
