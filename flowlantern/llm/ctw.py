@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from flowlantern.llm import blocks
 from flowlantern.llm.graph import stored
 
-DEPTH = 5
+DEPTH = 6
 END, BEFORE = 0xFF, 0xFE  # bytes that no UTF-8 text has
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

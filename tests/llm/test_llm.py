@@ -193,6 +193,13 @@ def test_context_tree_by_recursion(spark):
         assert got[i]["n_known"] == sum(w in words for w in own)
 
 
+def test_context_tree_sees_the_sixth_byte(spark):
+    texts = ["pabcde1"] * 20 + ["qabcde2"] * 20 + ["pabcde1", "pabcde2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.scored(rows, ctw.F.col("doc_id") < 40).collect()}
+    assert got[40] - got[41] > 0.5  # the last five bytes before 1 and 2 are the same
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 16))
