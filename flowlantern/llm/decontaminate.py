@@ -149,16 +149,27 @@ class Index:
             length = np.minimum(PASSAGE, size)
             upto = np.searchsorted(key, key + length - Q + 1)
             need = np.maximum(1, length - Q + 1 - Q * (length // 20))
+            base = band[order][fresh] * 2 * wide - shift * wide - (1 << 20)  # the lowest diagonal of the band
+            tried: set[int] = set()
+            last = -1
             for x in np.flatnonzero(upto - np.arange(len(g)) >= need).tolist():
                 d, it = int(o[x]), int(i[x])
                 if self.ids[it] in found[d]:
                     continue
-                text, m = self.texts[it], int(length[x])
-                j = min(int(p[x]), len(text) - m)  # the last passage of an item ends with it
-                lo = int(w[x]) - (int(p[x]) - j)
-                lo, hi = max(int(offsets[d]), lo - 2 * wide), min(int(offsets[d + 1]), lo + m + 2 * wide)
-                if banded(text[j:j + m], data[lo:hi].tobytes(), edits(m)):
-                    found[d].add(self.ids[it])
+                if g[x] != last:
+                    tried, last = set(), int(g[x])
+                text, m, at = self.texts[it], int(length[x]), int(p[x])
+                most = edits(m)
+                # edits can spoil the first Q * most q-grams of a passage; the last passage of an item ends with it
+                for j in range(min(at, len(text) - m), max(0, at - Q * most) - 1, -1):
+                    if j in tried:
+                        continue
+                    tried.add(j)
+                    lo = int(offsets[d]) + j + int(base[x])
+                    lo, hi = max(int(offsets[d]), lo - most), min(int(offsets[d + 1]), lo + m + 2 * wide - 1 + most)
+                    if banded(text[j:j + m], data[lo:hi].tobytes(), most):
+                        found[d].add(self.ids[it])
+                        break
 
 
 def banded(pattern: bytes, region: bytes, most: int) -> bool:

@@ -225,3 +225,42 @@ def test_toxicity_cases(spark):
     model = toxicity.train(d.union(d.where("doc_id < 20")), labels)
     alone = toxicity.score(d.where("doc_id = 160"), model).collect()[0]["score"]
     assert alone == got[160]
+
+
+def _within(text: bytes, item: bytes) -> bool:
+    """Is some part of the text within 3 edits of 64 bytes of the item? All passages at once, by columns."""
+    passages = np.lib.stride_tricks.sliding_window_view(np.frombuffer(item, np.uint8), 64)
+    steps = np.arange(65)
+    col = np.tile(steps, (len(passages), 1))
+    for c in text:
+        new = np.zeros_like(col)
+        new[:, 1:] = np.minimum(col[:, :-1] + (passages != c), col[:, 1:] + 1)
+        col = np.minimum.accumulate(new - steps, axis=1) + steps
+        if col[:, 64].min() <= 3:
+            return True
+    return False
+
+
+def test_decontamination_with_edits_at_every_place():
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    item = letters(180)
+    index = decontaminate.Index([(1, item.decode())])
+
+    def edited(part: bytes, place: int, kind: int) -> bytes:
+        return part[:place] + (b"#", b"", b"#" + part[place:place + 1])[kind] + part[place + 1:]
+
+    texts = []
+    for size in (64, 65, 66, 70, 100):
+        a = int(rng.integers(0, len(item) - size + 1))
+        texts += [edited(item[a:a + size], place, kind) for place in range(size) for kind in (0, 1, 2)]
+    for _ in range(400):
+        size = int(rng.integers(64, 101))
+        a = int(rng.integers(0, len(item) - size + 1))
+        part = item[a:a + size]
+        for place in rng.integers(0, 64, rng.integers(2, 6)):
+            part = edited(part, int(place), int(rng.integers(0, 3)))
+        texts.append(part)
+    texts = [letters(20) + t + letters(20) for t in texts]
+    found = index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [bool(f) for f in found] == [_within(t, item) for t in texts]
