@@ -36,7 +36,8 @@ _KINDS: list[tuple[str, re.Pattern, re.Pattern]] = [(k, re.compile(guard), re.co
     ("secret", r"AKIA|[=:]", r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/]{8,})"),
     ("iban", r"[A-Z]{2}\d\d", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"\d{4}", r"(?<![\w+-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])"),
-    ("phone", r"\d{3}", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])"),
+    # one-digit groups need a separator and another group behind them, so that neither "+100" nor a count after a number is one
+    ("phone", r"\+\d|\d{3}", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:(?:[ .-]\d(?=[ .-]\d))*[ .-]?\d{2,4}){2,5}(?![\w-])"),
     ("national", r"\d-\d", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ipv4", r"\d\.\d", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("woman", _TITLES_F, rf"\b(?:{_TITLES_F})\.? (?P<value>{_NAME}(?: {_NAME})?)"),

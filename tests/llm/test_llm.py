@@ -264,3 +264,20 @@ def test_decontamination_with_edits_at_every_place():
     texts = [letters(20) + t + letters(20) for t in texts]
     found = index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     assert [bool(f) for f in found] == [_within(t, item) for t in texts]
+
+
+def test_guards_hold_on_what_their_patterns_find():
+    numbers = ["+49 30 12 34 56 78", "+44 20 79 46 09 58", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+7 9 12 34 56 78 90", "+34 9 1 23 45 67",
+               "+1 (234) 555-1000", "234 555 1000", "+4930123456"]
+    for t in numbers:
+        assert [e[:3] for e in surrogates.entities(f"call {t} now")] == [(5, 5 + len(t), "phone")], t
+    assert not surrogates.entities("+100 and +1 2 3, +5")
+    examples = [*numbers, "a.b@c.de", "AKIA" + "A1B2" * 4, "password: abcdefgh1", "token=abcdefgh1", "DE12 3456 7890 1234 56", "4111 1111 1111 1111",
+                "123-45-6789", "10.0.0.1", "Frau Ada Berg", "Mr. Tom Berg"]
+    seen = set()
+    for kind, guard, pattern in surrogates._KINDS:
+        for t in examples:
+            if pattern.search(t):
+                seen.add(kind)
+                assert guard.search(t), (kind, t)
+    assert len(seen) == len(surrogates._KINDS)
