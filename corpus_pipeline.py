@@ -1,6 +1,7 @@
 """Corpus preparation in five stages over ``documents``: each stage works on all that the one before it kept.
 
-toxicity drops documents scored as toxic; near_duplicates keeps the first document of each class; decontamination drops documents that
+toxicity drops documents scored as toxic; near_duplicates keeps the first row of each class of texts, also where rows
+share an id; decontamination drops documents that
 hold a benchmark passage; surrogates replaces personal data; packing cuts what is left into sequences. All but the last return
 the columns of ``documents``. Null and empty texts pass all filters and are packed as their end id.
 """
@@ -21,12 +22,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.blocks.small_batches(spark)
-    found = order_minhash.classes(docs.select("doc_id", "text"))
-    kept = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return order_minhash.first_copies(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,8 +208,8 @@ def _node(w: np.ndarray) -> bytes | None:
     return a.tobytes() + b.tobytes()
 
 
-def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, node (128 bits of the words; null without words), sketch."""
+def sketches(docs: DataFrame, text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, node (128 bits of the words; null without words), sketch, and ``more`` string columns as they are."""
     def run(batches):
         for batch in batches:
             nodes, values = [], []
@@ -218,9 +218,10 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                 values.append(sketch(shingles(w)).view(np.int64) if len(w) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "node", "sketch"])
+                 pa.array(values, pa.list_(pa.int64())), *(batch.column(batch.schema.get_field_index(c)) for c in more)],
+                names=["doc_id", "node", "sketch", *more])
 
-    return docs.select("doc_id", text).mapInArrow(run, _NODES)
+    return docs.select("doc_id", text, *more).mapInArrow(run, ", ".join([_NODES, *(f"{c} string" for c in more)]))
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -253,10 +254,9 @@ def _aligned_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, class_id for every row: class_id is the smallest doc_id of its class (null for rows without id)."""
+def _roots(docs: DataFrame, rows: DataFrame, text: str, tie: bool) -> DataFrame:
+    """(node, root) of the linked nodes of ``rows``, the sketches of ``docs``; ``tie`` links what rows of one id say, too."""
     spark = docs.sparkSession
-    rows = stored(sketches(docs, text), "sketches")
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.any_value("sketch").alias("sketch"))
     spread = nodes.select("node", "first", F.posexplode("sketch").alias("band", "value"))
@@ -281,14 +281,42 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     split = placed.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_ = placed.join(split.select("band", "value", salts), ["band", "value", "salt"]).select("band", "value", "node", "root")
     more = stored(_aligned_blocks(open_, texts), "more")
+    if not tie:
+        return components(spark, stored(links.union(more), "links"))
     # an id whose rows have different words ties these together
     ids = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     tied = rows.join(ids.select("doc_id", F.col("a")), "doc_id").where("node is not null").select("a", F.col("node").alias("b"))
-    final = components(spark, stored(links.union(more).union(tied), "links"))
+    return components(spark, stored(links.union(more).union(tied), "links"))
+
+
+def classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, class_id for every row: class_id is the smallest doc_id of its class (null for rows without id)."""
+    rows = stored(sketches(docs, text), "sketches")
+    final = _roots(docs, rows, text, tie=True)
     named = rows.where("node is not null and doc_id is not null").select("node", "doc_id").join(final, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     by_node = named.select("node", "root").distinct().join(ids, "root").select("node", "class_id")
     big = rows.select("doc_id", "node").join(by_node, "node", "left")
     return big.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def first_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose own text is linked to an earlier one: of each class the row of smallest id, then digest, once.
+
+    Rows of one id with different texts are rows of their own. Rows without id or without words all stay.
+    """
+    keyed = docs.withColumn("__digest", F.sha2(F.col(text), 256))
+    rows = stored(sketches(keyed, text, ("__digest",)), "sketches")
+    final = _roots(docs, rows, text, tie=False)
+    named = stored(rows.where("node is not null and doc_id is not null").select("doc_id", "__digest", "node").join(final, "node", "left")
+                   .select("doc_id", "__digest", F.coalesce("root", "node").alias("root")).groupBy("doc_id", "__digest", "root")
+                   .agg(F.count("*").alias("n")), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "__digest")).alias("keep"))
+    later = named.join(first, "root").where("struct(doc_id, __digest) <> keep").select("doc_id", "__digest")
+    kept = keyed.join(later, ["doc_id", "__digest"], "left_anti")
+    if named.where("n > 1").limit(1).count():
+        one = F.coalesce(F.col("doc_id").isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = kept.where(one).dropDuplicates(["doc_id", "__digest"]).unionByName(kept.where(~one))
+    return kept.select(docs.columns)

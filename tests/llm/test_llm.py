@@ -281,3 +281,16 @@ def test_guards_hold_on_what_their_patterns_find():
                 seen.add(kind)
                 assert guard.search(t), (kind, t)
     assert len(seen) == len(surrogates._KINDS)
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(5, a, 1), (5, b, 1), (7, b + " end", 1), (5, a, 1), (6, "  " + a, 1), (8, None, 1), (8, "", 1), (9, None, 1), (9, c, 1), (9, c + " ", 1), (None, c, 1), (None, c, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates_out(spark, docs, "").collect()), key=str)
+    nine = [t for i, t in kept if i == 9 and t]
+    assert len(nine) == 1 and nine[0].strip() == c
+    assert kept == sorted([(5, a), (5, b), (8, None), (8, ""), (9, None), (9, nine[0]), (None, c), (None, c)], key=str)
