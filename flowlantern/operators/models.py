@@ -6,6 +6,7 @@ import pickle
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -132,6 +133,25 @@ def cross_validate(df: DataFrame, estimator: Pipeline, grid: list | None = None,
     return cv.fit(_labelled(df).withColumn("fold", me.fold(F.col("pid"), folds)))
 
 
+def fold_scores(df: DataFrame, features: list[str], names: tuple[str, ...], folds: int = 5, s: ModelSettings = ModelSettings()) -> DataFrame:
+    """(model, fold, f1, cv_f1, cv_sd): weighted F1 of every model on every fold, with their mean and population sd.
+
+    As for training, one-class models learn from the normal rows of the other folds only.
+    """
+    df = _labelled(df).withColumn("fold", me.fold(F.col("pid"), folds)).persist()
+    try:
+        rows = []
+        for n in names:
+            f1 = []
+            for k in range(folds):
+                model = train(n, df.where(F.col("fold") != k), features, s)
+                f1.append(float(evaluate(n, model, df.where(F.col("fold") == k)).first().f1_score))
+            rows += [(n, k, f, float(np.mean(f1)), float(np.std(f1))) for k, f in enumerate(f1)]
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double, cv_f1 double, cv_sd double")
+
+
 def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name: str = "random_forest", folds: int = 5,
                 s: ModelSettings = ModelSettings()) -> tuple[object, DataFrame]:
     """(best model, table of parameters with their mean score and whether they won)."""
@@ -147,9 +167,9 @@ def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name:
     test_f1 = MulticlassClassificationEvaluator(metricName="f1", labelCol="label").evaluate(
         fitted.bestModel.transform(_labelled(te)))
     best = max(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
-    rows = [(", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), i == best,
-             float(test_f1) if i == best else None) for i, (m, a) in enumerate(zip(maps, fitted.avgMetrics))]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, cv_f1 double, best boolean, test_f1 double")
+    rows = [(", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), float(sd), i == best,
+             float(test_f1) if i == best else None) for i, (m, a, sd) in enumerate(zip(maps, fitted.avgMetrics, fitted.stdMetrics))]
+    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, cv_f1 double, cv_sd double, best boolean, test_f1 double")
 
 
 def votes(models: dict, df: DataFrame) -> DataFrame:
