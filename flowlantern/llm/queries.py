@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlantern.llm import blocks
+from flowlantern.llm import blocks, divergence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,17 @@ def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import graph_ann
 
     return graph_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text (the article of the page), n_chars."""
+    from flowlantern.llm import html_extract
+
+    return html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op12_source_divergence", divergence.SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: divergence of each source from the others, and its most telling terms."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
