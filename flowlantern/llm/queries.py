@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlantern.llm import blocks, divergence
+from flowlantern.llm import blocks, divergence, strassen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,11 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, source, part, item, value, rank: divergence of each source from the others, and its most telling terms."""
     return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", strassen.SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = strassen.mined(strassen.valid_rows(table(spark, sf_dir, "embeddings"), label=moved), F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
