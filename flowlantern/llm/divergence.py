@@ -88,35 +88,42 @@ _CELL = "lang string, source string, item string, value long, covered long, p0 l
 
 
 def _cell(key, table):
-    """Partial divergences of all ordered pairs of a cell. ``tblock`` -1 holds the groups themselves: pairs with nothing added yet."""
+    """Partial divergences of all ordered pairs of a cell. Two rows (one on the diagonal) name the groups of its blocks, the others are slices of those
+    that have terms here. ``tblock`` -1 has no slices: its pairs begin with nothing added."""
     lang, i, j, tblock = (k.as_py() for k in key)
-    names, of = table["source"].to_pylist(), table["block"].to_pylist()
-    p0, v = table["p0"].to_pylist(), table["v"].to_pylist()
-    left = [r for r in range(len(names)) if of[r] == i]
-    right = left if i == j else [r for r in range(len(names)) if of[r] == j]
+    groups, slices = {}, {}
+    for r in range(len(table)):
+        if table["source"][r].is_valid:
+            slices[table["source"][r].as_py()] = table["tids"][r].values.to_numpy(), table["ps"][r].values.to_numpy()
+        else:
+            groups[table["block"][r].as_py()] = [(g["source"], g["p0"]) for g in table["members"][r].as_py()]
+            v = table["v"][r].as_py()
+    left, right = groups.get(i, []), groups.get(j, [])  # a block that no group fell into has no pairs
     out: list[tuple] = []
-    if tblock < 0 or not (left and right):
-        pairs = [(a, b) for a in left for b in right if a != b] if tblock < 0 else []
-        out = [(names[a], names[b], 0, 0, p0[a], p0[b], v[a]) for a, b in pairs]
-        if i != j:
-            out += [(names[b], names[a], 0, 0, p0[b], p0[a], v[a]) for a, b in pairs]
-    else:
-        tids = [x.values.to_numpy() for x in table["tids"]]
-        terms, matrix = np.unique(np.concatenate(tids)), []
-        for r, (t, p) in enumerate(zip(tids, table["ps"])):
-            line = np.full(len(terms), p0[r], np.int64)
-            line[np.searchsorted(terms, t)] = p.values.to_numpy()
-            matrix.append(line)
-        others, m = np.stack([matrix[b] for b in right]), len(terms)
-        for a in left:
-            square = (others - matrix[a]) ** 2
-            forth = (square // others).sum(axis=1).tolist()
-            back = (square // matrix[a]).sum(axis=1).tolist() if i != j else None
-            for k, b in enumerate(right):
-                if a != b:
-                    out.append((names[a], names[b], forth[k], m, p0[a], p0[b], v[a]))
-                    if back is not None:
-                        out.append((names[b], names[a], back[k], m, p0[b], p0[a], v[a]))
+    if slices and left and right:
+        terms = np.unique(np.concatenate([t for t, _ in slices.values()]))
+        m = len(terms)
+
+        def line(name, p0):
+            found = np.full(m, p0, np.int64)
+            if name in slices:
+                found[np.searchsorted(terms, slices[name][0])] = slices[name][1]
+            return found
+
+        others = np.stack([line(*g) for g in right])
+    if left and right and (slices or tblock < 0):
+        for name, p0 in left:
+            if slices:
+                mine = line(name, p0)
+                square = (others - mine) ** 2
+                forth, back = (square // others).sum(axis=1).tolist(), (square // mine).sum(axis=1).tolist()
+            else:
+                m, forth, back = 0, [0] * len(right), [0] * len(right)
+            for (other, q0), x, y in zip(right, forth, back):
+                if other != name:
+                    out.append((name, other, x, m, p0, q0, v))
+                    if i != j:
+                        out.append((other, name, y, m, q0, p0, v))
     columns = list(zip(*out)) or [()] * 7
     types = [pa.string(), pa.string(), *[pa.int64()] * 5]
     return pa.table([pa.array([lang] * len(out), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))],
@@ -147,7 +154,7 @@ def audited(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
               .withColumn("block", F.pmod(F.xxhash64("source"), "gblocks").cast("int"))
               .withColumn("gtotal", F.greatest(F.col("total") + F.col("v"), F.lit(1))).withColumn("ltotal", F.col("qtotal") + F.col("v"))
               .withColumn("p0", share(F.lit(0).cast("long"), F.col("gtotal"))))
-    groups = stored(groups.select("lang", "source", "gtotal", "ltotal", "v", "p0", "block", "gblocks"), "groups")
+    groups = stored(groups.select("lang", "source", "gtotal", "ltotal", "v", "p0", "block", "gblocks", "tblocks"), "groups")
     rows = (marked.where("tid is not null").join(_checked(groups.select("lang", "source", "gtotal", "ltotal")), ["lang", "source"])
             .withColumn("p", share(F.col("n"), F.col("gtotal"))).withColumn("q", share(F.col("qn"), F.col("ltotal"))))
 
@@ -157,9 +164,14 @@ def audited(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
 
     slices = (rows.groupBy("lang", "source", "tblock").agg(F.collect_list(F.struct("tid", "p")).alias("x"))
               .select("lang", "source", "tblock", F.col("x.tid").alias("tids"), F.col("x.p").alias("ps")))
-    none = groups.select("lang", "source", F.lit(-1).alias("tblock"), F.array().cast("array<int>").alias("tids"), F.array().cast("array<long>").alias("ps"))
-    cells = (slices.union(none).join(_checked(groups.select("lang", "source", "v", "p0", "block", "gblocks")), ["lang", "source"])
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("gblocks") - 1)))
+    # every cell learns the names of its groups from one row of each block
+    blocks = (groups.groupBy("lang", "block", "v", "gblocks", "tblocks").agg(F.collect_list(F.struct("source", "p0")).alias("members"))
+              .withColumn("tblock", F.explode(F.sequence(F.lit(-1), F.col("tblocks") - 1))).drop("tblocks"))
+    members = blocks.schema["members"].dataType
+    cells = slices.join(_checked(groups.select("lang", "source", "v", "block", "gblocks")), ["lang", "source"]).select(
+        "lang", "block", "v", "gblocks", F.lit(None).cast(members).alias("members"), "tblock", "source", "tids", "ps")
+    cells = cells.union(blocks.select("*", F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.lit(None).cast("array<long>")))
+    cells = (cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("gblocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("gblocks", "other"))
     partial = cells.groupBy("lang", "i", "j", "tblock").applyInArrow(_cell, _CELL)
     pairs = partial.groupBy("lang", "source", "item").agg(

@@ -30,14 +30,22 @@ SHARES = 64
 EXACT = 1 << 48      # scores below, times a place of 10 bits, fit in 63 bits
 
 
+def padded(a: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """``a`` with zeros below and to the right."""
+    if a.shape == (rows, columns):
+        return a
+    out = np.zeros((rows, columns), a.dtype)
+    out[:a.shape[0], :a.shape[1]] = a
+    return out
+
+
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b by Strassen's recursion, exact for integers."""
     n, k = a.shape
     m = b.shape[1]
     if min(n, k, m) <= LEAF:
         return a @ b
-    a = np.pad(a, ((0, n & 1), (0, k & 1)))
-    b = np.pad(b, ((0, k & 1), (0, m & 1)))
+    a, b = padded(a, n + (n & 1), k + (k & 1)), padded(b, k + (k & 1), m + (m & 1))
     r, s, t = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:r, :s], a[:r, s:], a[r:, :s], a[r:, s:]
     b11, b12, b21, b22 = b[:s, :t], b[:s, t:], b[s:, :t], b[s:, t:]
@@ -64,7 +72,7 @@ def _tiles(anchors: dict, rows: dict):
     """(first row, scores of all anchors against a tile of rows); rows come in ascending order of id."""
     a, c = _matrix(anchors), _matrix(rows)
     width = max(a.shape[1], c.shape[1])
-    a, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, c))
+    a, c = padded(a, len(a), width), padded(c, len(c), width)
     if width and len(a) and len(c):
         # additions before a product add at most two bits on each side a level
         bound = max(int(a.max()), -int(a.min())) * max(int(c.max()), -int(c.min())) * width
