@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlantern.config import DEFAULTS, SECOND, Thresholds
 from flowlantern.functions.net import ratio, round6
+from flowlantern.operators.limits import SlidingLimit
 from flowlantern.operators.ordered import ordered_scan
 from flowlantern.operators.sessions import session_starts, slices
 
@@ -72,76 +68,37 @@ def manual_alerts(reports: DataFrame) -> DataFrame:
 
 
 # ---- admission ----------------------------------------------------------------------------------
-@dataclass(frozen=True)
-class AdmissionRule:
-    """Rate limit per (source, type), then de-duplication per (source, type, priority), in time order.
-
-    The limit counts alerts it let through, so it is sequential. After a pause longer than both frames nothing is
-    remembered: such pauses are the reset points of the scan.
-    """
-
-    limit: int | None
-    limit_us: int
-    dedup_us: int | None
-    out_schema: str
-    key: str = "admission_key"
-    needs: tuple[str, ...] = ("ts_us", "alert_id", "priority")
-
-    def step(self, pdf: pd.DataFrame, state: dict | None):
-        ts, keys, prio = pdf["ts_us"].to_numpy(), pdf[self.key].to_numpy(), pdf["priority"].to_numpy()
-        reset = max(self.limit_us, self.dedup_us or 0)
-        key, last, anchored = (state["key"], state["last"], state["anchored"]) if state else (None, None, False)
-        passed = deque(state["passed"]) if state else deque()
-        kept = dict(state["kept"]) if state else {}
-        n = len(ts)
-        limited, duplicate = np.zeros(n, bool), np.zeros(n, bool)
-        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), n]):
-            if keys[a] != key:
-                anchored = a > 0 or state is not None
-                key, last, passed, kept = keys[a], int(ts[a]), deque(), {}
-            i = a
-            while i < b:
-                t = int(ts[i])
-                if t - last > reset:
-                    passed.clear()
-                    kept.clear()
-                    anchored = True
-                last = t
-                if self.limit is not None:
-                    while passed and passed[0] < t - self.limit_us:
-                        passed.popleft()
-                    if len(passed) >= self.limit:
-                        # nothing passes until the oldest one leaves the frame: skip to there
-                        j = i + int(np.searchsorted(ts[i:b], passed[0] + self.limit_us, side="right"))
-                        limited[i:j] = True
-                        last, i = int(ts[j - 1]), j
-                        continue
-                    passed.append(t)
-                if self.dedup_us is not None:
-                    if prio[i] in kept and t - kept[prio[i]] < self.dedup_us:
-                        duplicate[i] = True
-                    else:
-                        kept[prio[i]] = t
-                i += 1
-        out = pdf.drop(columns=["_part"], errors="ignore").assign(rate_limited=limited, duplicate=duplicate)
-        live = {p: t for p, t in kept.items() if last - t < (self.dedup_us or 0)}
-        after = {"key": key, "last": last, "passed": [t for t in passed if t >= last - self.limit_us],
-                 "kept": dict(sorted(live.items())), "anchored": anchored}
-        return out, after
+# The rate limit counts alerts it let through, per (source, type); what it lets through is de-duplicated per (source, type,
+# priority): an alert passes unless one passed less than a frame before. Both are :class:`SlidingLimit`.
+def _rate_limited(rows: DataFrame, th: Thresholds) -> DataFrame:
+    keyed = rows.withColumn("admission_key", F.concat_ws("|", "source_ip", "attack_type"))
+    rule = SlidingLimit(th.rate_limit, th.rate_window_us, "admission_key", "rate_limited")
+    return ordered_scan(keyed, rule, ["ts_us", "alert_id"]).drop("admission_key")
+
+
+def _deduplicated(rows: DataFrame, th: Thresholds) -> DataFrame:
+    keyed = rows.withColumn("admission_key", F.concat_ws("|", "source_ip", "attack_type", F.coalesce("priority", F.lit("\0"))))
+    rule = SlidingLimit(1, th.dedup_window_us - 1, "admission_key", "duplicate")  # passes again after exactly a frame
+    return ordered_scan(keyed, rule, ["ts_us", "alert_id"]).drop("admission_key")
 
 
 def admission(alerts: DataFrame, th: Thresholds = DEFAULTS, rate_limit: bool = True, dedup: bool = True) -> DataFrame:
     """All alerts with the flags ``rate_limited`` and ``duplicate``; admitted alerts have neither."""
-    rows = alerts.withColumn("admission_key", F.concat_ws("|", "source_ip", "attack_type"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    rule = AdmissionRule(th.rate_limit if rate_limit else None, th.rate_window_us,
-                         th.dedup_window_us if dedup else None, ddl + ", rate_limited boolean, duplicate boolean")
-    return ordered_scan(rows, rule, ["ts_us", "alert_id"]).drop("admission_key")
+    no = F.lit(False)
+    if not dedup:
+        return (_rate_limited(alerts, th) if rate_limit else alerts.withColumn("rate_limited", no)).withColumn("duplicate", no)
+    if not rate_limit:
+        return _deduplicated(alerts, th).withColumn("rate_limited", no)
+    limited = _rate_limited(alerts, th)
+    names = [*alerts.columns, "rate_limited", "duplicate"]
+    # the second scan reads only what the first let through: at most ``rate_limit`` alerts of a key in a frame
+    return _deduplicated(limited.where(~F.col("rate_limited")), th).select(*names).union(
+        limited.where("rate_limited").withColumn("duplicate", no).select(*names))
 
 
 def admitted(alerts: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    return admission(alerts, th).where(~F.col("rate_limited") & ~F.col("duplicate")).drop("rate_limited", "duplicate")
+    passed = _rate_limited(alerts, th).where(~F.col("rate_limited")).drop("rate_limited")
+    return _deduplicated(passed, th).where(~F.col("duplicate")).drop("duplicate")
 
 
 # ---- correlation --------------------------------------------------------------------------------

@@ -10,38 +10,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlantern.config import DEFAULTS, SECOND, Thresholds
 from flowlantern.functions import net
-from flowlantern.operators.ordered import ordered_scan
-
-_DDL = (
-    "pid bigint, ts_us bigint, flow_key string, src_ip string, dst_ip string, src_port int, dst_port int, "
-    "protocol string, packet_size int, flags string, label int, flow_pid bigint, iat_us bigint"
-)
-
+from flowlantern.operators.ordered import Rows, ordered_scan
 
 @dataclass(frozen=True)
 class FlowRule:
-    """Splits the sorted packets of a key into flows. State: start, first pid and size of the open flow."""
+    """Splits the sorted packets of a key into flows. State: start, first pid, size and last time of the open flow.
+
+    The transfer map of a block holds, for every row at which the first flow that begins in the block may begin, the flow that is open
+    at its end. Any ``max_packets + 1`` consecutive rows hold the begin of a flow, so it has at most ``max_packets + 2`` entries.
+    Fields: n (rows), first and last (times), head (times of the rows that may be the first begin); start, pid, left (begin, first
+    id and size of the open flow; size 0: none is).
+    """
 
     idle_us: int
     active_us: int
     max_packets: int
     key: str = "flow_key"
     needs: tuple[str, ...] = ("ts_us", "pid")
-    out_schema: str = _DDL
+    adds: str = "flow_pid bigint, iat_us bigint"
 
-    def step(self, pdf: pd.DataFrame, state: dict | None):
-        ts, pid = pdf["ts_us"].to_numpy(), pdf["pid"].to_numpy()
-        keys = pdf[self.key].to_numpy()
+    def step(self, rows: Rows, state: dict | None):
+        ts, pid, new_key = rows.columns["ts_us"], rows.columns["pid"], rows.new_key
         n = len(ts)
-        new_key = np.empty(n, bool)
-        new_key[1:] = keys[1:] != keys[:-1]
-        new_key[0] = state is None or state["key"] != keys[0]
         pause = np.zeros(n, bool)
         pause[1:] = ~new_key[1:] & (np.diff(ts) > self.idle_us)
         if not new_key[0]:
@@ -77,18 +72,16 @@ class FlowRule:
             open_n = int(end[-1] - begin[-1])
         lead = first[-1]
         after = {
-            "key": keys[-1], "last": int(ts[-1]), "n": int(open_n), "pid": int(flow_pid[-1]),
+            "key": rows.last_key, "last": int(ts[-1]), "n": int(open_n), "pid": int(flow_pid[-1]),
             "start": int(ts[lead]) if lead >= 0 else state["start"],
-            "anchored": bool(cut[1:].any() or pause[0] or (not new_key[0] and state["anchored"])),
         }
-        out = pdf.drop(columns=["_part"], errors="ignore").assign(flow_pid=flow_pid, iat_us=iat)
-        return out, after
+        return {"flow_pid": flow_pid, "iat_us": iat}, after
 
-    # -- a partition inside one key without pauses: end state as a function of where its first new flow starts.
-    # Any max_packets + 1 consecutive rows hold a flow start, so the table has at most max_packets + 2 entries.
-    def transfer(self, pdf: pd.DataFrame) -> dict:
-        ts, pid = pdf["ts_us"].to_numpy(), pdf["pid"].to_numpy()
+    def transfer(self, columns: dict[str, np.ndarray]) -> dict | None:
+        ts, pid = columns["ts_us"], columns["pid"]
         n = len(ts)
+        if (np.diff(ts) > self.idle_us).any():
+            return None  # a flow begins after the pause, whatever came before
         head = min(n, self.max_packets + 2)
         close = np.minimum(np.searchsorted(ts, ts + self.active_us, side="right"), np.arange(n) + self.max_packets)
         at = np.arange(head)
@@ -97,29 +90,36 @@ class FlowRule:
             at[moving] = close[at[moving]] + 1
             moving = close[at] + 1 < n
         is_open = close[at] >= n
-        return {
-            "n": n, "key": pdf[self.key].iat[0], "first": int(ts[0]), "last": int(ts[-1]), "head_ts": ts[:head],
-            "start": ts[at], "pid": pid[at], "left": np.where(is_open, n - at, 0),
-        }
-
-    def carry(self, t: dict, state: dict | None) -> dict:
-        """End state of the partition for the given start state."""
-        entry = 0
-        if state is not None and state["n"] > 0 and t["first"] - state["last"] <= self.idle_us:
-            over = int(np.searchsorted(t["head_ts"], state["start"] + self.active_us, side="right"))
-            if over == len(t["head_ts"]) and over < t["n"]:
-                over = t["n"]
-            last = min(over, self.max_packets - state["n"])
-            if last >= t["n"]:
-                return {**state, "last": t["last"], "n": state["n"] + t["n"]}
-            entry = last + 1
-            if entry >= t["n"]:
-                return {**state, "last": t["last"], "n": 0}
-        return {
-            "key": t["key"], "last": t["last"], "n": int(t["left"][entry]), "pid": int(t["pid"][entry]),
-            "start": int(t["start"][entry]),
-            "anchored": False,
-        }
+        return {"n": n, "first": int(ts[0]), "last": int(ts[-1]), "head": ts[:head],
+                "start": ts[at], "pid": pid[at], "left": np.where(is_open, n - at, 0)}
+
+    def _applied(self, m: dict, start, pid, left, last: int):
+        """End (start, pid, left) for open flows given as arrays; ``left`` 0 means that none is open."""
+        start, pid, left = (np.array(x, np.int64) for x in (start, pid, left))
+        carried = (left > 0) & (m["first"] - last <= self.idle_us)
+        over = np.searchsorted(m["head"], start + self.active_us, side="right")
+        over = np.where((over == len(m["head"])) & (over < m["n"]), m["n"], over)
+        row = np.where(carried, np.minimum(over, self.max_packets - left), -1)  # the one that closes the flow
+        entry = row + 1
+        through, none = row >= m["n"], entry == m["n"]  # the flow stays open; it closes on the last row
+        e = np.minimum(entry, len(m["head"]) - 1)
+        return (np.where(through, start, m["start"][e]), np.where(through, pid, m["pid"][e]),
+                np.where(through, left + m["n"], np.where(none, 0, m["left"][e])))
+
+    def apply(self, table: dict, key, state: dict | None) -> dict:
+        s = state or {"start": 0, "pid": 0, "n": 0, "last": 0}
+        start, pid, left = self._applied(table, [s["start"]], [s["pid"]], [s["n"]], s["last"])
+        return {"key": key, "last": table["last"], "n": int(left[0]), "pid": int(pid[0]), "start": int(start[0])}
+
+    def compose(self, first: dict, second: dict) -> dict | None:
+        if second["first"] - first["last"] > self.idle_us:
+            return None
+        ends = self._applied(second, first["start"], first["pid"], first["left"], first["last"])
+        n = first["n"] + second["n"]
+        more = max(0, min(self.max_packets + 2, n) - len(first["head"]))  # the head reaches into the second block
+        names = ("head", "start", "pid", "left")
+        return {"n": n, "first": first["first"], "last": second["last"],
+                **{c: np.concatenate((x, second[c][:more])) for c, x in zip(names, (first["head"], *ends))}}
 
 
 def flow_packets(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
@@ -136,8 +136,8 @@ def flow_packets(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
 
 def flows(marked: DataFrame) -> DataFrame:
     """One row per flow: key, bounds, size. ``marked`` is the output of :func:`flow_packets`."""
-    return marked.groupBy("flow_pid").agg(
-        F.first("flow_key").alias("flow_key"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
+    return marked.groupBy("flow_pid", "flow_key").agg(
+        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
         F.count("*").alias("packet_count"), F.sum("packet_size").alias("byte_count"),
     )
 
@@ -150,8 +150,8 @@ def flow_features(marked: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     sec = F.lit(float(SECOND))
     tcp = F.upper("protocol") == "TCP"
     fwd, size = net.is_forward(), F.col("packet_size")
-    g = marked.groupBy("flow_pid").agg(
-        *[F.first(c).alias(c) for c in ("flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")],
+    # grouped by what is the same for all packets of a flow: strings as keys leave a hash aggregate, as values they don't
+    g = marked.groupBy("flow_pid", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
         F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
         F.count("*").alias("packet_count"), F.sum("packet_size").alias("byte_count"),
         F.coalesce(F.stddev_samp(F.col("iat_us") / sec), F.lit(0.0)).alias("iat_sd"),

@@ -2,15 +2,74 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlantern.config import DEFAULTS, Thresholds
-from flowlantern.operators.alerts import AdmissionRule
+
+@dataclass(frozen=True)
+class AdmissionRule:
+    """Rate limit per (source, type), then de-duplication per (source, type, priority), in time order: both rules of
+    :func:`flowlantern.operators.alerts.admission` in one pass, for state that is kept per key between micro-batches.
+    """
+
+    limit: int | None
+    limit_us: int
+    dedup_us: int | None
+    out_schema: str
+    key: str = "admission_key"
+    needs: tuple[str, ...] = ("ts_us", "alert_id", "priority")
+
+    def step(self, pdf: pd.DataFrame, state: dict | None):
+        ts, keys, prio = pdf["ts_us"].to_numpy(), pdf[self.key].to_numpy(), pdf["priority"].to_numpy()
+        reset = max(self.limit_us, self.dedup_us or 0)
+        key, last, anchored = (state["key"], state["last"], state["anchored"]) if state else (None, None, False)
+        passed = deque(state["passed"]) if state else deque()
+        kept = dict(state["kept"]) if state else {}
+        n = len(ts)
+        limited, duplicate = np.zeros(n, bool), np.zeros(n, bool)
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), n]):
+            if keys[a] != key:
+                anchored = a > 0 or state is not None
+                key, last, passed, kept = keys[a], int(ts[a]), deque(), {}
+            i = a
+            while i < b:
+                t = int(ts[i])
+                if t - last > reset:
+                    passed.clear()
+                    kept.clear()
+                    anchored = True
+                last = t
+                if self.limit is not None:
+                    while passed and passed[0] < t - self.limit_us:
+                        passed.popleft()
+                    if len(passed) >= self.limit:
+                        # nothing passes until the oldest one leaves the frame: skip to there
+                        j = i + int(np.searchsorted(ts[i:b], passed[0] + self.limit_us, side="right"))
+                        limited[i:j] = True
+                        last, i = int(ts[j - 1]), j
+                        continue
+                    passed.append(t)
+                if self.dedup_us is not None:
+                    if prio[i] in kept and t - kept[prio[i]] < self.dedup_us:
+                        duplicate[i] = True
+                    else:
+                        kept[prio[i]] = t
+                i += 1
+        out = pdf.drop(columns=["_part"], errors="ignore").assign(rate_limited=limited, duplicate=duplicate)
+        live = {p: t for p, t in kept.items() if last - t < (self.dedup_us or 0)}
+        after = {"key": key, "last": last, "passed": [t for t in passed if t >= last - self.limit_us],
+                 "kept": dict(sorted(live.items())), "anchored": anchored}
+        return out, after
+
 
 _STATE = "last bigint, passed array<bigint>, names array<string>, times array<bigint>"
 
