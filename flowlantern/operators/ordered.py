@@ -196,9 +196,12 @@ def ordered_scan(df: DataFrame, rule: Rule, order: list[str]) -> DataFrame:
     # row numbers of a task start at 0 in the lower 33 bits
     first = (F.monotonically_increasing_id() % F.lit(1 << 33)) == 0
     rows = checkpointed(rows.select("*", F.spark_partition_id().alias("_part"), first.alias("_first")))
-    parts = rows.rdd.getNumPartitions()
+    conf = df.sparkSession.conf.get  # adaptive execution may merge partitions, so these are upper bounds of their number
+    parts = max(int(conf("spark.sql.shuffle.partitions")), int(conf("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + rule.adds
-    records = stored(rows.select("_part", rule.key, *rule.needs).mapInArrow(lambda it: _summary(rule, it), _RECORD), "records")
+    records = rows.select("_part", rule.key, *rule.needs).mapInArrow(lambda it: _summary(rule, it), _RECORD)
+    if parts > FAN:  # read once on the way up and once on the way down
+        records = stored(records, "records")
     starts = start_states(rule, records, parts).where("start is not null").select(
         F.col("node").alias("_part"), F.lit(True).alias("_first"), F.col("start").alias("_start"))
     if parts <= BROADCAST_ROWS:  # a state is some hundred bytes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlantern.config import SECOND
 from flowlantern.functions import net
-from flowlantern.session import small_side
+from flowlantern.session import BROADCAST_ROWS, stored
 
 
 @dataclass(frozen=True)
@@ -282,74 +283,117 @@ def hot_slices(pieces: DataFrame, specs: list[_Spec]) -> DataFrame:
     """Slices in which the count can reach the threshold, with the amount alive at their start (``base``)."""
     totals = pieces.groupBy("rule", "key", "w", "g", "slice").agg(
         F.sum("n").alias("n"), F.count("value").alias("d"))
+    limit = F.create_map(*[F.lit(x) for s in specs for x in (s.rule.id, s.threshold)])[F.col("rule")]
+    distinct = F.col("rule").isin([s.rule.id for s in specs if s.by_distinct])
+    back = (F.col("w") / F.col("g")).cast("bigint")
+    # most slices are far from any threshold: only those with enough within one frame on both sides are added up frame by frame.
+    # Slices are scaled so that one literal bound is a frame for every rule.
+    scale = math.lcm(*[s.window_us // s.slice_us for s in specs])
+    around = Window.partitionBy("rule", "key").orderBy("_at").rangeBetween(-scale, scale)
+    totals = totals.withColumn("_at", F.col("slice") * F.call_function("div", F.lit(scale).cast("bigint"), back)).withColumn(
+        "_around", F.sum(F.when(distinct, F.col("d")).otherwise(F.col("n"))).over(around)).where(F.col("_around") >= limit)
     reach = totals.select(
         "rule", "key", "w", "g", "n", "d",
-        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), (F.col("w") / F.col("g")).cast("bigint")),
+        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), back),
                               lambda j: F.struct((F.col("slice") + j).alias("slice"), (j == 0).alias("own")))).alias("_s"),
     ).select("rule", "key", "w", "g", "n", "d", "_s.*")
-    limit = F.create_map(*[F.lit(x) for s in specs for x in (s.rule.id, s.threshold)])
-    distinct = F.col("rule").isin([s.rule.id for s in specs if s.by_distinct])
     return reach.groupBy("rule", "key", "w", "g", "slice").agg(
         F.sum("n").alias("n"), F.sum("d").alias("d"),
         F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("base"),
-    ).where(F.when(distinct, F.col("d")).otherwise(F.col("n")) >= limit[F.col("rule")]).select(
+    ).where(F.when(distinct, F.col("d")).otherwise(F.col("n")) >= limit).select(
         "rule", "key", "slice", "w", "g", "base")
 
 
-def frame_counts(df: DataFrame, specs: list[_Spec]) -> tuple[DataFrame, DataFrame]:
-    """(times at which a rule's frame reaches its threshold with count and distinct count, hot slices)."""
+BLOCKS = 64  # time blocks of a slice; a block of a 10 s slice holds at most 156,250 microseconds
+
+
+def _near_slices(hot: DataFrame, valued: list[str]) -> DataFrame:
+    """Slices whose packets matter to hot ones: hot themselves (``own``), those whose packets leave the frame in a hot slice (``out``),
+    and, for rules that report distinct values, those in between."""
+    back = (F.col("w") / F.col("g")).cast("bigint")
+    offset = F.when(F.col("rule").isin(valued), F.sequence(F.lit(0).cast("bigint"), back)).otherwise(F.array(F.lit(0).cast("bigint"), back))
+    return hot.select("rule", "key", "w", "g", "slice", F.explode(offset).alias("j")).groupBy(
+        "rule", "key", (F.col("slice") - F.col("j")).alias("slice")).agg(
+        F.bool_or(F.col("j") == 0).alias("own"), F.bool_or(F.col("j") == back).alias("out"))
+
+
+def _count_steps(rows: DataFrame) -> DataFrame:
+    """Changes of the packet count: +n at t and -n just after t + W, one row per (rule, key, microsecond) combined before the shuffle.
+    Every packet of the key is an evaluation point."""
+    at = F.col("ts_us") + F.col("w") + 1
+    later = F.col("slice") + (F.col("w") / F.col("g")).cast("bigint")
+    change = lambda at, slice_, dn, point: F.struct(at.alias("at"), slice_.alias("slice"), dn.alias("dn"), F.lit(point).alias("point"))
+    per_us = rows.where("own or out").groupBy("rule", "key", "w", "g", "slice", "own", "out", "ts_us").agg(
+        F.count_if("tracked").alias("n"))
+    return per_us.select("rule", "key", "g", F.explode(F.array_compact(F.array(
+        F.when(F.col("own"), change(F.col("ts_us"), F.col("slice"), F.col("n"), 1)),
+        # an expiry exactly on a slice start is already missing from that slice's base
+        F.when(F.col("out") & (F.col("n") > 0) & (F.pmod(at, "g") != 0), change(at, later, -F.col("n"), 0)),
+    ))).alias("_chg")).select("rule", "key", "g", "_chg.*", F.lit(0).cast("bigint").alias("dd"))
+
+
+def _value_steps(rows: DataFrame, hot: DataFrame, valued: list[str]) -> DataFrame:
+    """Changes of the distinct count: from the first and last sighting of a value in each slice."""
     k3 = ["rule", "key", "slice"]
-    tracked = _touch_rows(df, specs, True, []).withColumn("slice", _slice_of("ts_us"))
-    pieces = tracked.groupBy("rule", "key", "w", "g", "value", "slice").agg(
-        F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.count("*").alias("n"))
-    hot = small_side(hot_slices(pieces, specs))
-    hot_keys = hot.select(*k3)
-
-    # changes of the packet count: +1 at t, -1 just after t + W; and every packet of the key is an evaluation point
-    touched = _touch_rows(df, specs, False, [])
-    one, minus, zero = F.lit(1), F.lit(-1), F.lit(0)
-    change = lambda at, dn, point: F.struct(at.alias("at"), dn.alias("dn"), point.alias("point"))
-    counts = touched.select("rule", "key", "w", "g", F.explode(F.array_compact(F.array(
-        change(F.col("ts_us"), F.when(F.col("tracked"), one).otherwise(zero), one),
-        F.when(F.col("tracked"), change(F.col("ts_us") + F.col("w") + 1, minus, zero)),
-    ))).alias("_chg")).select("rule", "key", "g", "_chg.*").withColumn("slice", _slice_of("at"))
-    # an expiry exactly on a slice start is already missing from that slice's base
-    counts = counts.where((F.col("point") == 1) | (F.pmod("at", "g") != 0)).join(hot_keys, k3, "left_semi")
-    counts = counts.withColumn("dd", zero)
-    base = hot.select(*k3, (F.col("slice") * F.col("g")).alias("at"), F.col("base").alias("dn"), zero.alias("dd"),
-                      zero.alias("point"))
-
-    # changes of the distinct count, from the pieces near hot slices
-    valued = [s.rule.id for s in specs if s.by_distinct or s.rule.conditions.get("tcp_syn_only")
-              or s.rule.conditions.get("same_source")]
-    near = hot.where(F.col("rule").isin(valued)).select("rule", "key", "w", "g", F.explode(F.sequence(
-        F.col("slice") - (F.col("w") / F.col("g")).cast("bigint"), F.col("slice"))).alias("slice")).select(*k3).distinct()
+    pieces = rows.where(F.col("rule").isin(valued) & F.col("tracked") & F.col("value").isNotNull()).groupBy(
+        "rule", "key", "w", "g", "value", "slice").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
     by_value = Window.partitionBy("rule", "key", "value").orderBy("slice")
-    alive = pieces.where(F.col("value").isNotNull()).join(near, k3, "left_semi").withColumn(
+    alive = pieces.withColumn(
         "end", F.least(F.col("last") + F.col("w"), F.coalesce(F.lead("first").over(by_value) - 1, F.lit(2**62))))
-    start_of = lambda s: s * F.col("g")
+    one, minus = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
     begins = F.array(F.struct(F.col("first").alias("at"), F.col("slice").alias("slice"), one.alias("dd")))
     later = F.transform(
         F.filter(F.sequence(F.col("slice"), _slice_of("end")), lambda s: s > F.col("slice")),
-        lambda s: F.struct(start_of(s).alias("at"), s.alias("slice"), one.alias("dd")))
+        lambda s: F.struct((s * F.col("g")).alias("at"), s.alias("slice"), one.alias("dd")))
     gone = F.col("end") + 1
     ends = F.when(F.pmod(gone, F.col("g")) != 0, F.array(
         F.struct(gone.alias("at"), _slice_of(gone).alias("slice"), minus.alias("dd"))))
-    values = alive.select("rule", "key", F.explode(F.concat(
-        begins, later, F.coalesce(ends, F.array().cast("array<struct<at:bigint,slice:bigint,dd:int>>")))).alias("_chg"))
-    values = values.select("rule", "key", "_chg.*").join(hot_keys, k3, "left_semi").withColumns(
-        {"dn": zero, "point": zero})
-
-    cols = [*k3, "at", "dn", "dd", "point"]
-    steps = counts.select(*cols).unionByName(base.select(*cols)).unionByName(values.select(*cols))
-    # one aggregation, combined on the map side, leaves one row per microsecond
-    steps = steps.groupBy(*k3, "at").agg(F.sum("dn").alias("dn"), F.sum("dd").alias("dd"), F.max("point").alias("point"))
-    running = Window.partitionBy(*k3).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    values = alive.select("rule", "key", "g", F.explode(F.concat(
+        begins, later, F.coalesce(ends, F.array().cast("array<struct<at:bigint,slice:bigint,dd:bigint>>")))).alias("_chg"))
+    return values.select("rule", "key", "g", "_chg.*", F.lit(0).cast("bigint").alias("dn"), F.lit(0).alias("point")).join(
+        hot.select(*k3), k3, "left_semi")
+
+
+def running_counts(steps: DataFrame) -> DataFrame:
+    """``n`` and ``d`` after each step, per (rule, key, slice), by two-level prefix sums: totals of the time blocks of a slice are added up
+    in order, and each block is summed for itself, so one slice of a victim is up to ``BLOCKS`` tasks."""
+    k4 = ["rule", "key", "slice", "block"]
+    length = F.greatest(F.call_function("div", F.col("g"), F.lit(BLOCKS)), F.lit(1))
+    # read once for each level
+    steps = stored(steps.withColumn("block", F.call_function("div", F.col("at") - F.col("slice") * F.col("g"), length)).drop("g"), "steps")
+    before = Window.partitionBy("rule", "key", "slice").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = steps.groupBy(*k4).agg(F.sum("dn").alias("dn"), F.sum("dd").alias("dd"))
+    totals = totals.select(*k4, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("dn", "dd")])
+    inside = Window.partitionBy(*k4).orderBy("at")  # with all changes of the same microsecond
+    within = steps.withColumn("n", F.sum("dn").over(inside)).withColumn("d", F.sum("dd").over(inside)).where(F.col("point") == 1)
+    return within.join(totals, k4).select(
+        "rule", "key", "slice", "at", (F.col("n") + F.col("dn0")).alias("n"), (F.col("d") + F.col("dd0")).alias("d"))
+
+
+def frame_counts(df: DataFrame, specs: list[_Spec]) -> tuple[DataFrame, DataFrame]:
+    """(times at which a rule's frame reaches its threshold with count and distinct count, packets of hot slices).
+
+    Packets are read twice: once for totals per slice, which show where a threshold can be reached, once for the packets near there.
+    """
+    k3 = ["rule", "key", "slice"]
+    valued = [s.rule.id for s in specs if s.by_distinct or s.rule.conditions.get("tcp_syn_only")
+              or s.rule.conditions.get("same_source")]
+    pieces = _touch_rows(df, specs, True, []).withColumn("slice", _slice_of("ts_us")).groupBy(
+        "rule", "key", "w", "g", "value", "slice").agg(F.count("*").alias("n"))
+    hot = stored(hot_slices(pieces, specs), "hot")
+    most = BROADCAST_ROWS // (1 + max(s.window_us // s.slice_us for s in specs))  # near slices of a hot one
+    small = hot.limit(most + 1).count() <= most
+    hot, near = (F.broadcast(x) if small else x for x in (hot, _near_slices(hot, valued)))
+    rows = _touch_rows(df, specs, False, ["pid", "src_ip", "dst_ip", "dst_port"]).withColumn("slice", _slice_of("ts_us"))
+    rows = stored(rows.join(near, k3).where("own or tracked"), "near_packets")
+    base = hot.select("rule", "key", "g", "slice", (F.col("slice") * F.col("g")).alias("at"), F.col("base").alias("dn"),
+                      F.lit(0).cast("bigint").alias("dd"), F.lit(0).alias("point"))
+    steps = _count_steps(rows).unionByName(base).unionByName(_value_steps(rows, hot, valued))
     limit = F.create_map(*[F.lit(x) for s in specs for x in (s.rule.id, s.threshold)])
     distinct = F.col("rule").isin([s.rule.id for s in specs if s.by_distinct])
-    fired = steps.withColumn("n", F.sum("dn").over(running)).withColumn("d", F.sum("dd").over(running)).where(
-        (F.col("point") == 1) & (F.when(distinct, F.col("d")).otherwise(F.col("n")) >= limit[F.col("rule")]))
-    return fired.select("rule", "key", F.col("at").alias("ts_us"), "n", "d"), hot_keys
+    fired = running_counts(steps).where(F.when(distinct, F.col("d")).otherwise(F.col("n")) >= limit[F.col("rule")])
+    # several packets of one microsecond are one point
+    return fired.select("rule", "key", F.col("at").alias("ts_us"), "n", "d"), rows.where("own").drop("own", "out", "slice")
 
 
 def _texts(s: _Spec) -> tuple[Column, Column]:
@@ -379,9 +423,7 @@ def _texts(s: _Spec) -> tuple[Column, Column]:
 def behavioural_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """All behavioural rules together; one row per (packet, rule whose frame is at or over the threshold)."""
     specs = [_spec(r) for r in rules if r.pattern_type == "behavioral"]
-    fired, hot = frame_counts(df, specs)
-    rows = _touch_rows(df, specs, False, ["pid", "src_ip", "dst_ip", "dst_port"])
-    rows = rows.withColumn("slice", _slice_of("ts_us")).join(hot, ["rule", "key", "slice"], "left_semi")
+    fired, rows = frame_counts(df, specs)
     rows = rows.join(fired, ["rule", "key", "ts_us"])
     pick = lambda f: F.coalesce(*[F.when(F.col("rule") == s.rule.id, f(s)) for s in specs])
     measure = pick(lambda s: F.col("d") if s.by_distinct else F.col("n"))
@@ -420,6 +462,7 @@ def match_stats(matches: DataFrame, k: int = 10) -> DataFrame:
                        ("target_ip", "target_ip"), ("total", "all"))])).alias("x")
     g = matches.withColumn("all", F.lit("all")).select("ts_us", dims).groupBy("x.dimension", "x.value").agg(
         F.count("*").alias("matches"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    g = stored(g, "match_counts")  # the matches are computed once for all dimensions
     top = lambda dim: g.where(F.col("dimension") == dim).orderBy(F.desc("matches"), "value").limit(k)
     rows = g.where(~F.col("dimension").isin("source_ip", "target_ip")).unionByName(top("source_ip")).unionByName(top("target_ip"))
     span = (F.col("hi") - F.col("lo")) / SECOND

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowlantern.functions.net import round6
 from flowlantern.operators import rules as op
 from flowlantern.plans.base import query
-from flowlantern.session import scratch_path
+from flowlantern.session import scratch_path, stored
 from flowlantern.sources import fixture as fx, sinks
 
 STATELESS_COLUMNS = ["pid", "ts_us", "source_ip", "target_ip", "signature_id", "severity", "category", "confidence", "matched_pattern"]
@@ -180,7 +180,7 @@ FROM m, b WHERE ts_us >= lo + 600000000 AND ts_us <= hi - 600000000
 """, ("packets",))
 def export_matches(spark, d):
     """Written as CSV and read back."""
-    m = matches(spark, d).withColumn("confidence", round6(F.col("confidence")))
+    m = stored(matches(spark, d).withColumn("confidence", round6(F.col("confidence"))), "matches")
     lo, hi = m.agg(F.min("ts_us"), F.max("ts_us")).first()
     path = scratch_path(spark, "matches-csv")
     sinks.export_matches(m, path, lo + 600_000_000, hi - 600_000_000)

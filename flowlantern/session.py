@@ -61,15 +61,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is counted to hold at most ``max_rows``; otherwise leave it to a shuffle join.
-
-    The side is cached, so the count and the join compute it once; the count stops at ``max_rows + 1``.
-    """
-    df = df.persist()
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+BROADCAST_ROWS = 100_000  # sides counted to be smaller may be broadcast
