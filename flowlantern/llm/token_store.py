@@ -15,11 +15,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlantern.llm import blocks, tokens
+from flowlantern.llm.graph import stored
+from flowlantern.session import BROADCAST_ROWS
 
+GROUP = 4096  # parts whose bases are summed by one task
 SHARD_IDS = 1 << 20  # a shard is closed when it holds so many ids
 _SCHEMA = ("part int, shard int, first_key long, last_key long, ids long, width int, keys binary, seeds binary, "
            "prints binary, starts binary, sizes binary, payload binary")
@@ -55,13 +58,16 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 free += 1
             taken[free], slots[own[0]], seeds[b] = True, free, -free - 1
             continue
-        seed = 1
-        while True:
-            at = (_hash(keys[own], seed) % np.uint64(n)).astype(np.int64)
-            if len(set(at.tolist())) == len(own) and not taken[at].any():
+        seed, tries = 1, 16
+        while True:  # many seeds at once; as slots fill up, more are needed
+            at = (_hash(keys[own], np.arange(seed, seed + tries, dtype=np.uint64)[:, None]) % np.uint64(n)).astype(np.int64)
+            ranked = np.sort(at, axis=1)
+            fits = np.flatnonzero(~taken[at].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1))
+            if len(fits):
                 break
-            seed += 1
-        taken[at], slots[own], seeds[b] = True, at, seed
+            seed, tries = seed + tries, min(tries * 4, 4096)
+        at = at[fits[0]]
+        taken[at], slots[own], seeds[b] = True, at, seed + fits[0]
     return seeds, slots
 
 
@@ -121,14 +127,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``base``, the number of ids before each: sums per part, of which there are few, then within the part."""
-    from pyspark.sql import Window
-
+    """The shards with ``base``, the number of ids before each."""
     all_ = spark.read.schema(_SCHEMA).parquet(path)
-    parts = all_.groupBy("part").agg(F.sum("ids").alias("n"))
-    before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    inside = all_.select("part", "shard", "ids").withColumn("base", F.sum("ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("ids"))
-    return all_.join(F.broadcast(inside.join(before, "part").select("part", "shard", (F.col("base") + F.col("before")).alias("base"))), ["part", "shard"])
+    # two levels, so that no window holds all parts: groups of parts, then the parts and shards of a group
+    group = F.call_function("div", F.col("part"), F.lit(GROUP)).cast("int")
+    ids = all_.select(group.alias("grp"), "part", "shard", "ids")
+    groups = ids.groupBy("grp").agg(F.sum("ids").alias("n"))
+    before = groups.select("grp", (F.sum("n").over(Window.orderBy("grp")) - F.col("n")).alias("before"))
+    inside = ids.withColumn("base", F.sum("ids").over(Window.partitionBy("grp").orderBy("part", "shard")) - F.col("ids"))
+    bases = stored(inside.join(before, "grp").select("part", "shard", (F.col("base") + F.col("before")).alias("base")), "bases")
+    if bases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
+    return all_.join(bases, ["part", "shard"])
 
 
 def _rows(row: dict):
