@@ -84,7 +84,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "benchmark_items", (F.size("benchmark_items") > 0).alias("contaminated"))
 
 
-SURROGATE_KEY = b"surrogates"  # of the checks; a real corpus takes a secret one
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of a corpus, from the setting ``spark.flowlantern.surrogateKey``; a fixed one where it is unset."""
+    return spark.conf.get("spark.flowlantern.surrogateKey", "surrogates").encode()
 
 
 @query("op3_surrogates")
@@ -92,7 +94,7 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates in place of personal data, n_entities."""
     from flowlantern.llm import surrogates
 
-    return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 @query("op9_substring_dedup")

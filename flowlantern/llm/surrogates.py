@@ -6,7 +6,10 @@ letters of the same script, digits digits, cards stay valid by their check digit
 surrogate poured into its own format, so mentions of one entity stay one entity everywhere.
 
 Distinct entities get distinct surrogates, and none that is itself an entity of the corpus: surrogates are grouped by value, and all but
-the first of each group draw again until none collide. Only entities that had to draw again are passed to the rewriting step; beyond
+the first of each group draw again until none collide. That ends for every corpus: names and mail addresses grow longer with the draws, and after
+``DRAWS`` of them the other kinds, whose length is fixed, take a keyed permutation of all values of their shape, which is distinct by construction; what
+is given up then, where a shape is nearly full, is only that a surrogate is no entity of the corpus. Valid card and account numbers stay valid. Names
+in scripts without a list of given names become letters of the same script. Only entities that had to draw again are passed to the rewriting step; beyond
 ``EXCEPTIONS`` of them they are joined to the texts instead of being sent along.
 
 Defined cases: null stays null, empty stays empty; texts without entities stay as they are; the result depends on the key and the set
@@ -27,6 +30,7 @@ from pyspark.sql import types as T
 from flowlantern.llm.graph import stored
 
 EXCEPTIONS = 100_000
+DRAWS = 8  # hashed draws before a permutation
 
 _TITLES_F = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Госпожа|Κυρία"
 _TITLES_M = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
@@ -62,6 +66,15 @@ _PARTS = {
 _LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
+# first and last letters of further scripts
+_RANGES = [(0x0561, 0x0586), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0915, 0x0939), (0x0E01, 0x0E2E), (0x10D0, 0x10F0),
+           (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+
+
+def _range(c: str) -> tuple[int, int] | None:
+    return next(((lo, hi) for lo, hi in _RANGES if lo <= ord(c) <= hi), None) if c > "\u0530" else None
+
+
 def script(text: str) -> str:
     for c in text:
         if "\u0370" <= c <= "\u03ff":
@@ -124,16 +137,88 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _iban_check(s: str) -> str:
+    """The two check digits of an account number in lower case."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in s[4:] + s[:2] + '00')) % 97:02d}"
+
+
+def _is_iban(s: str) -> bool:
+    return s.isascii() and s.isalnum() and len(s) > 4 and s[2:4] == _iban_check(s)
+
+
+def _public(octets: list[int]) -> bool:
+    a, b = octets[:2]
+    return not (a in (0, 10, 127) or a > 223 or (a == 192 and b == 168) or (a == 172 and 16 <= b < 32))
+
+
+def _permute(key: bytes, what: bytes, n: int, v: int) -> int:
+    """A keyed bijection of 0..n-1: a Feistel network on the next even number of bits, walked until the value is in range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = v >> half, v & mask
+        for r in range(6):
+            d = hmac.new(key, what + bytes([r]) + b.to_bytes((half + 7) // 8, "big"), hashlib.sha256).digest()
+            a, b = b, a ^ (int.from_bytes(d, "big") & mask)
+        v = a << half | b
+        if v < n:
+            return v
+
+
+def permuted(key: bytes, kind: str, canon: str) -> str:
+    """Surrogate of an entity of fixed shape under a bijection of that shape; validity and reach (public, private) stay."""
+    if kind == "ipv4":
+        o = canon.split(".")
+        kept = 1 if o[0] == "10" else 2 if o[:2] == ["192", "168"] or (o[0] == "172" and 16 <= int(o[1]) < 32) else 0
+        places = [(int(x), None if i < kept else range(256)) for i, x in enumerate(o)]
+        join, alike = lambda x: ".".join(map(str, x)), lambda x: _public([int(v) for v in x])
+    else:
+        keep = {"secret": 4 if canon.startswith("AKIA") else 0, "iban": 2, "phone": 1, "card": 1}.get(kind, 0)
+        places = []
+        for i, c in enumerate(canon):
+            letters = "0123456789" if c in "0123456789" else _LETTERS[script(c)] if c.isalpha() else ""
+            letters = letters.upper() if c.isupper() else letters
+            places.append((c, None if i < keep or c not in letters else letters))
+        join = "".join
+        alike = {"card": lambda x: _luhn(join(x)[:-1]) == int(x[-1]), "iban": lambda x: _is_iban(join(x))}.get(kind, lambda x: True)
+    n, v, shape = 1, 0, [kind]
+    for c, letters in places:
+        shape.append(str(c) if letters is None else f"[{len(letters)}{letters[0]}]")
+        if letters is not None:
+            v, n = v * len(letters) + letters.index(c), n * len(letters)
+    what, own = "\x1f".join(shape).encode(), alike([c for c, _ in places])
+    while True:
+        v = _permute(key, what, n, v)
+        rest, new = v, []
+        for c, letters in reversed(places):
+            new.append(c if letters is None else letters[rest % len(letters)])
+            rest //= 1 if letters is None else len(letters)
+        new.reverse()
+        if alike(new) == own:
+            return join(new)
+
+
+def _longer(kind: str) -> bool:
+    """Kinds whose surrogates may grow."""
+    return kind in _NAMED or kind == "email"
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """The canonical form of the surrogate."""
+    if attempt >= DRAWS and not _longer(kind):
+        return permuted(key, kind, canon)
     r = _Draw(key, "name" if kind in _NAMED else kind, canon, attempt)
     if kind in _NAMED:
         s = script(canon)
         parts = _PARTS[s]
         out = []
         words = canon.split(" ")
-        for i, _ in enumerate(words):
-            if i == 0 and len(words) > 1:
+        for i, word in enumerate(words):
+            foreign = [x for x in map(_range, word) if x]
+            if foreign:
+                foreign += [foreign[-1]] * (attempt // 4)
+                out.append("".join(chr(lo + r.below(hi - lo + 1)) for lo, hi in foreign))
+            elif i == 0 and len(words) > 1:
                 given = _GIVEN[s, kind]
                 out.append(given[r.below(len(given))].lower())
             else:
@@ -164,6 +249,12 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
             out.append(x.upper() if c.isupper() else x)
     if kind == "card" and _luhn(canon[:-1]) == int(canon[-1]):
         out[-1] = str(_luhn("".join(out[:-1])))
+    if kind == "iban" and _is_iban(canon):
+        out[2:4] = _iban_check("".join(out))
+    if kind == "email":
+        at = canon.index("@")
+        letters = _LETTERS[script(canon[:at])]
+        out[at:at] = [letters[r.below(len(letters))] for _ in range(attempt // 4)]
     return "".join(out)
 
 
@@ -175,7 +266,8 @@ def render(mention: str, kind: str, new: str) -> str:
         pairs = zip(mention.split(" "), new.split(" "))
         return " ".join(w.upper() if m.isupper() and len(m) > 1 else w[:1].upper() + w[1:] for m, w in pairs)
     if kind == "email":
-        return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new))
+        at, more = mention.index("@"), len(new) - len(mention)
+        return "".join(n.upper() if m.isupper() else n for m, n in zip(mention[:at] + "x" * more + mention[at:], new))
     it = iter(new)
     return "".join((lambda n: n.upper() if c.isupper() else n)(next(it)) if c.isalnum() else c for c in mention)
 
@@ -209,8 +301,11 @@ def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         drawn = stored(rows.mapInArrow(draw, "kind string, canon string, attempt int, grp string, new string"), "drawn")
         # the first of a group keeps its surrogate: the one that has drawn most often, then the smallest
         first = drawn.groupBy("grp", "new").agg(F.count("*").alias("n"), F.max(F.struct("attempt", "canon", "kind")).alias("keep"))
-        bad = (first.where("n > 1").join(drawn, ["grp", "new"]).where("struct(attempt, canon, kind) <> keep").select("kind", "canon")
-               .union(drawn.join(known, ["grp", "new"], "left_semi").select("kind", "canon")).distinct())
+        # permuted values of one shape never meet; the second bound is for equal values of two shapes, which only long secrets could have
+        may = F.col("kind").isin(*_NAMED, "email")
+        bad = (first.where("n > 1").join(drawn, ["grp", "new"]).where("struct(attempt, canon, kind) <> keep")
+               .where(may | (F.col("attempt") < 3 * DRAWS)).select("kind", "canon")
+               .union(drawn.where(may | (F.col("attempt") < DRAWS)).join(known, ["grp", "new"], "left_semi").select("kind", "canon")).distinct())
         bad = stored(bad.withColumn("again", F.lit(1)), "again")
         if not bad.limit(1).count():
             return rows.where("attempt > 0")

@@ -9,7 +9,7 @@ import pytest
 from compare import connect, diff
 from pyspark.sql import functions as F
 
-from flowlantern.llm import divergence, html_extract, queries, strassen
+from flowlantern.llm import divergence, html_extract, queries, strassen, surrogates, token_store
 
 SF = "/root/testdata/sf0.01"
 P = "The quick brown fox jumps over the lazy dog and then goes on to write a much longer sentence about it all."
@@ -153,3 +153,39 @@ def test_hard_negatives_brute_force(spark, monkeypatch):
 def test_sql(spark, name):
     _, err = diff(queries.QUERIES[name](spark, SF), queries.ORACLES[name], connect(SF))
     assert err is None
+
+
+# ---- op3, op4 -------------------------------------------------------------------------------------
+@pytest.mark.parametrize("limit", [10])
+def test_surrogates_of_full_shapes(spark, monkeypatch, limit):
+    """All values of a shape in use: the draws end, distinct entities stay distinct, mentions stay together. Both ways to pass exceptions on."""
+    monkeypatch.setattr(surrogates, "EXCEPTIONS", limit)
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    hosts = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)]
+    texts = ["mail " + " and ".join(mails[k:k + 50]) for k in range(0, len(mails), 50)]
+    texts += ["from " + " to ".join(hosts[k:k + 2000]) for k in range(0, len(hosts), 2000)] + ["again a@a.com", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in surrogates.replaced(docs, b"k").collect()}
+    new = [e[3] for i in sorted(got) for e in surrogates.entities(got[i]["text"] or "")]
+    assert len(new) == len(mails) + len(hosts) + 1 and len(set(new)) == len(mails) + len(hosts)
+    assert got[len(texts) - 3]["text"] == "again " + new[0]
+    assert not set(new) & set(mails)
+    assert all(h.startswith("192.168.") for h in new[len(mails):-1])
+
+
+def test_surrogates_keep_script_and_validity():
+    for name in ("محمد علي", "王小明", "देव"):
+        for attempt in (0, 9):
+            out = surrogates.surrogate(b"k", "man", name, attempt)
+            assert out != name and all(surrogates._range(c) == surrogates._range(name[0]) or c == " " for c in out)
+    for attempt in (0, surrogates.DRAWS):
+        assert surrogates._is_iban(surrogates.surrogate(b"k", "iban", "de89370400440532013000", attempt))
+        card = surrogates.surrogate(b"k", "card", "4111111111111111", attempt)
+        assert card != "4111111111111111" and surrogates._luhn(card[:-1]) == int(card[-1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 5000])
+def test_index_is_minimal_and_perfect(n):
+    keys = np.unique(np.random.default_rng(n).integers(-2**62, 2**62, n))
+    seeds, slots = token_store.build_index(keys)
+    assert sorted(slots) == list(range(n)) and (token_store.slot_of(keys, seeds, n) == slots).all()
