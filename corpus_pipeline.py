@@ -32,7 +32,7 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.blocks.small_batches(spark)
-    new = surrogates.replaced(docs, queries.SURROGATE_KEY, "__n").drop("__n")
+    new = surrogates.replaced(docs, queries.surrogate_key(spark), "__n").drop("__n")
     return new.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
