@@ -9,7 +9,7 @@ import pytest
 from compare import connect, diff
 from pyspark.sql import functions as F
 
-from flowlantern.llm import divergence, html_extract, queries, strassen, surrogates, token_store
+from flowlantern.llm import divergence, graph_ann, html_extract, queries, strassen, surrogates, token_store
 
 SF = "/root/testdata/sf0.01"
 P = "The quick brown fox jumps over the lazy dog and then goes on to write a much longer sentence about it all."
@@ -189,3 +189,34 @@ def test_index_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(-2**62, 2**62, n))
     seeds, slots = token_store.build_index(keys)
     assert sorted(slots) == list(range(n)) and (token_store.slot_of(keys, seeds, n) == slots).all()
+
+
+# ---- op6 -----------------------------------------------------------------------------------------
+@pytest.mark.parametrize("size", [1e25, 1e-25, 1e-170])
+def test_vectors_of_any_size_in_many_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(graph_ann, "SHARD", 150)
+    monkeypatch.setattr(graph_ann, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 8)) * size
+    x[7] = x[3]
+    x[9] = x[3] * 1e-140
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8), (502, [float("nan")] + [1.0] * 7), (None, [1.0] * 8)]
+    got = graph_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    hits = 0
+    for q in range(0, 400, 20):
+        unit = x / size
+        d = np.sqrt(((unit - unit[q]) ** 2).sum(1)) * size
+        want = [i for i in np.lexsort((np.arange(400), d)) if i != q][:10]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        hits += len(set(want) & {r["vec_id"] for r in mine})
+        assert [r["rank"] for r in mine] == list(range(1, 11))
+        assert all(r["score"] == pytest.approx(d[r["vec_id"]], rel=1e-12, abs=0) for r in mine)
+    assert hits >= 0.9 * 200
+
+
+def test_search_of_repeated_ids_and_empty_tables(spark):
+    schema = "vec_id long, embedding array<double>, score double, v string, shard int"
+    rows = [(0, [1.0, 0.0], 1.0, "x", 1), (0, [9.0, 0.0], None, None, None), (1, [2.0, 0.0], 1.0, "x", 1), (2, [9.0, 0.0], 1.0, "x", 1), (3, [1.0], 0.0, "y", 2)]
+    got = graph_ann.search(spark.createDataFrame(rows, schema), F.col("vec_id") < 2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 8.0), (1, 1, 0, 1.0), (1, 2, 2, 7.0)]
+    assert graph_ann.search(spark.createDataFrame([], schema), F.col("vec_id") < 2).collect() == []
