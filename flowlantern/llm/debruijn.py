@@ -28,6 +28,7 @@ from flowlantern.llm.graph import stored
 
 WINDOW = 13
 KMER = 7
+SALTS = 64
 _BLOCKS = "bucket int, b int, keys binary, before binary, after binary, many binary"
 _ANSWERS = "b int, keys binary, flags binary"
 U = np.uint64
@@ -195,8 +196,12 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     rows = rows.withColumn("b", F.pmod(F.col("row"), F.lit(n)).cast("int"))
     found = stored(paths(rows, n), "paths")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    lost = found.join(first, "digest").where("doc_id > first").select("b", "row", "start", "edges").distinct()
+    # a frequent path is joined in SALTS parts: the small side has one row for each part of a digest that occurs
+    found = found.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    first = found.groupBy("digest", "salt").agg(F.min("doc_id").alias("first")).groupBy("digest").agg(
+        F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
+    first = first.select("digest", "first", F.explode("salts").alias("salt"))
+    lost = found.join(first, ["digest", "salt"]).where("doc_id > first").select("b", "row", "start", "edges").distinct()
 
     def apply(key, table, gone):
         x = Batch(table)
