@@ -11,7 +11,8 @@ A shard's graph is built once and stored as one row. Queries are dealt to blocks
 task: it holds one graph and reads its queries in Arrow batches, so neither time nor memory of a task grows with the number of queries.
 
 Vectors are divided by one power of two for the whole table, which changes no digit and no order, so that squares of very large or small
-components stay finite. Searches and answers are double precision, answers in the scale of the original vectors; ties go to the smaller id.
+components stay finite. Links are chosen in single precision around a shard's mean; searches and answers are double precision, answers in the
+scale of the original vectors; ties go to the smaller id.
 A shard of at most ``EXACT`` vectors is compared as a whole, which a graph of that size would do as well.
 
 Defined cases: null ids, and vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors of other than
@@ -63,7 +64,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, start: np.ndarray, q: np.ndarr
     """Nearest rows found for all queries at once: (rows, squared distances), nearest first; -1 where fewer were reached."""
     n = len(q)
     rows = np.full((n, beam), -1)
-    dist = np.full((n, beam), np.inf)
+    dist = np.full((n, beam), np.inf, x.dtype)
     done = np.zeros((n, beam), bool)
     m = min(len(start), beam)
     rows[:, :m] = start[:m]
@@ -79,7 +80,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, start: np.ndarray, q: np.ndarr
         done[active, best] = True
         near = links[rows[active, best]]
         ok = near >= 0
-        d = np.where(ok, _distances(x, np.maximum(near, 0), q[active]), np.inf)
+        d = np.where(ok, _distances(x, np.maximum(near, 0), q[active]), np.inf).astype(x.dtype)
         d[(near[:, :, None] == rows[active][:, None, :]).any(2)] = np.inf
         r = np.concatenate((rows[active], near), 1)
         dd = np.concatenate((dist[active], d), 1)
@@ -158,7 +159,8 @@ def _graphs(e: int):
         order = np.argsort([i[0] for i in ids])  # a graph depends on the vectors only, not on their order of arrival
         x = _scaled(table.column("v").combine_chunks(), e, len(ids))[order]
         ids = [ids[i] for i in order]
-        links, start = build(x) if len(x) > EXACT else (np.zeros((0, DEGREE), np.int64), np.arange(len(x)))
+        middle = x - x.mean(0)  # single precision around the mean does for links
+        links, start = build((middle / (np.abs(middle).max() or 1.0)).astype(np.float32)) if len(x) > EXACT else (np.zeros((0, DEGREE), np.int64), np.arange(len(x)))
         counts = np.array([len(i) for i in ids], np.int64)
         parts = (x, links.astype(np.int32), start.astype(np.int64), np.concatenate(ids).astype(np.int64), counts)
         return pa.table({"shard": table.column("shard").slice(0, 1), **{
