@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlantern.config import DEFAULTS, SECOND, Thresholds
@@ -55,30 +55,69 @@ def detections(votes: DataFrame, samples: DataFrame, method: str = "majority_vot
         F.create_map(F.lit("source_ip"), "src_ip", F.lit("target_ip"), "dst_ip").alias("metadata"))
 
 
-def moving_average(df: DataFrame, cols: list[str], th: Thresholds = DEFAULTS) -> DataFrame:
-    """Exponential moving averages from 0, in (ts_us, pid) order, as one row.
+def wide_detections(voted: DataFrame, method: str = "majority_vote", model_f1: dict[str, float] | None = None,
+                    th: Thresholds = DEFAULTS) -> DataFrame:
+    """``detections`` of rows that carry all their votes in an array ``votes`` of (model, vote, model_confidence): a projection, no shuffle.
 
-    Closed form: the k-th newest row weighs a * (1 - a) ** (k - 1), over all rows. The place of a row is its place within its second
-    plus the rows of later seconds, so rows are only ordered within seconds and one counter per second is ordered as a whole.
+    ``voted`` also has pid, ts_us, src_ip and dst_ip. ``model_f1`` has one entry for each model; unknown models and none weigh 1.
     """
-    a = th.ema_alpha
-    rows = df.select("ts_us", "pid", *cols).withColumn("second", F.floor(F.col("ts_us") / SECOND))
-    later = rows.groupBy("second").agg(F.count("*").alias("n"))
-    later = later.withColumn("later", F.sum("n").over(Window.orderBy(F.desc("second"))) - F.col("n")).select("second", "later")
-    age = F.row_number().over(Window.partitionBy("second").orderBy(F.desc("ts_us"), F.desc("pid"))) - 1 + F.col("later")
-    return rows.join(later, "second").withColumn("weight", a * F.pow(F.lit(1 - a), age)).agg(
-        *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
+    add = lambda f: F.aggregate("votes", F.lit(0.0), lambda a, v: a + f(v))
+    yes, n = add(lambda v: v["vote"].cast("double")), F.size("votes")
+    share = yes / n
+    if method == "weighted_vote":
+        known = [x for m, f1 in sorted((model_f1 or {}).items()) for x in (F.lit(m), F.lit(f1).cast("double"))]
+        weight = lambda v: F.coalesce(F.create_map(*known)[v["model"]], F.lit(1.0)) if known else F.lit(1.0)
+        share = ratio(add(lambda v: weight(v) * v["vote"]), add(weight))
+        anomaly, confidence = share > th.weighted_threshold, share
+    elif method == "majority_vote":
+        anomaly, confidence = yes * 2 > n, share
+    elif method == "consensus_vote":
+        anomaly, confidence = yes == n, F.when((yes == n) | (yes == 0), 1.0).otherwise(0.0)
+    else:
+        raise ValueError(f"unknown method {method}")
+    entry = lambda v: F.struct(v["model"].alias("key"), F.struct(
+        v["vote"].alias("prediction"), v["model_confidence"].alias("confidence"), (v["vote"] == 1).alias("is_anomaly")).alias("value"))
+    return voted.select(
+        "pid", "ts_us", anomaly.alias("is_anomaly"), share.alias("anomaly_score"), confidence.alias("confidence"),
+        F.map_from_entries(F.array_sort(F.transform("votes", entry))).alias("predictions"), F.lit(method).alias("detection_method"),
+        F.create_map(F.lit("source_ip"), "src_ip", F.lit("target_ip"), "dst_ip").alias("metadata"))
+
+
+def _moving_averages(df: DataFrame, cols: list[str], alpha: float, counts: dict[str, Column]) -> DataFrame:
+    """One row: exponential moving averages from 0 of ``cols`` in (ts_us, pid) order, and the sums ``counts``.
+
+    A range of rows maps an average x to (1 - a) ** n * x + value. Rows are ranged newest first, so each range gives its (n, value) from the
+    row numbers of its task in one hash aggregate, and the maps, one row for each range, are composed in order.
+    """
+    rest = 1.0 - alpha
+    rows = df.select("ts_us", "pid", *cols, *[c.alias(n) for n, c in counts.items()])
+    order = [F.desc("ts_us"), F.desc("pid")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id() % F.lit(1 << 33)  # row numbers of a task start at 0 in the lower 33 bits
+    rows = rows.select("*", F.spark_partition_id().alias("part"), (F.lit(alpha) * F.pow(F.lit(rest), place)).alias("weight"))
+    ranges = rows.groupBy("part").agg(
+        F.count("*").alias("n"), *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols], *[F.sum(n).alias(n) for n in counts])
+    start = F.struct(F.lit(1.0).alias("decay"), *[F.lit(0.0).alias(c) for c in cols])
+    ema = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "n", *cols))), start, lambda a, r: F.struct(
+        (a["decay"] * F.pow(F.lit(rest), r["n"])).alias("decay"),
+        *[(a[c] + a["decay"] * F.coalesce(r[c], F.lit(0.0))).alias(c) for c in cols]))
+    return ranges.agg(ema.alias("ema"), *[F.sum(n).alias(n) for n in counts])
+
+
+def moving_average(df: DataFrame, cols: list[str], th: Thresholds = DEFAULTS) -> DataFrame:
+    """Exponential moving averages from 0, over all rows in (ts_us, pid) order, as one row; null without rows."""
+    out = _moving_averages(df, cols, th.ema_alpha, {"rows": F.lit(1)})
+    return out.select(*[F.when(F.col("rows") > 0, F.col(f"ema.{c}")).alias(c) for c in cols])
 
 
 def detection_stats(det: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    ema = moving_average(det, ["confidence", "anomaly_score"], th)
-    n, k = F.count("*"), F.count_if("is_anomaly")
-    return det.agg(n.alias("total_samples"), k.alias("anomaly_count"), (n - k).alias("normal_count"),
-                   round6(ratio(k, n)).alias("anomaly_rate")).withColumn(
-        "ema", ema.select(F.struct("*")).scalar()).select(
-        "total_samples", "anomaly_count", "normal_count", "anomaly_rate",
-        round6(F.col("ema.confidence")).alias("avg_confidence"),
-        round6(F.col("ema.anomaly_score")).alias("avg_anomaly_score"))
+    """Counts, anomaly rate and moving averages from one pass over the detections."""
+    out = _moving_averages(det, ["confidence", "anomaly_score"], th.ema_alpha,
+                           {"total": F.lit(1), "hits": F.when(F.col("is_anomaly"), 1).otherwise(0)})
+    n, k = F.coalesce("total", F.lit(0)), F.coalesce("hits", F.lit(0))
+    return out.select(
+        n.alias("total_samples"), k.alias("anomaly_count"), (n - k).alias("normal_count"), round6(ratio(k, n)).alias("anomaly_rate"),
+        *[round6(F.when(n > 0, F.col(f"ema.{c}"))).alias(f"avg_{c}") for c in ("confidence", "anomaly_score")])
 
 
 def anomaly_trends(det: DataFrame, window_us: int, as_of: int | None = None) -> DataFrame:

@@ -35,8 +35,8 @@ WINDOW_BINARY = [
 WINDOW_FEATURES = WINDOW_NUMERICAL + WINDOW_CATEGORICAL + WINDOW_BINARY
 
 
-def ml_flow_features(flows: DataFrame) -> DataFrame:
-    """The 32 flow features as doubles, with the flow id and label. Flows without a ttl get 0."""
+def ml_flow_features(flows: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """The 32 flow features as doubles, with the flow id and label, and the columns ``keep``. Flows without a ttl get 0."""
     c = F.col
     derived = {
         "ttl": F.coalesce(c("ttl"), F.lit(0)) if "ttl" in flows.columns else F.lit(0),
@@ -46,7 +46,7 @@ def ml_flow_features(flows: DataFrame) -> DataFrame:
         "has_large_packets": c("avg_packet_size") > 1000, "has_high_packet_count": c("packet_count") > 100,
     }
     return flows.select(
-        c("flow_pid").alias("pid"), *[derived.get(f, c(f)).cast("double").alias(f) for f in FLOW_FEATURES], "label")
+        c("flow_pid").alias("pid"), *[derived.get(f, c(f)).cast("double").alias(f) for f in FLOW_FEATURES], "label", *keep)
 
 
 def ml_window_features(windows: DataFrame) -> DataFrame:

@@ -46,15 +46,23 @@ def weighted_metrics(conf: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the ROC curve by the rank-sum with ties, over distinct scores.
+    """Area under the ROC curve by the rank-sum with ties.
 
-    Scores are first counted per distinct value, so the ordered pass sees as many rows as there are scores (votes
-    have a handful). For continuous scores use MLlib's BinaryClassificationEvaluator.
+    Scores are first counted per distinct value; few values (votes) then make few rows, and continuous scores are spread by ranges.
+    A range holds its own rank-sum; what lies below it is carried from the totals of the ranges before, one small row each.
     """
     per = scored.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy(score)) - F.col("neg")
-    return per.withColumn("below", below).groupBy(*by).agg(ratio(
-        F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") * 0.5), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
+    ranged = per.repartitionByRange(*by, score).withColumn("part", F.spark_partition_id())
+    below = F.sum("neg").over(Window.partitionBy(*by, "part").orderBy(score)) - F.col("neg")
+    pairs = F.col("pos").cast("double") * (below + F.col("neg") * 0.5)
+    ranges = ranged.withColumn("pairs", pairs).groupBy(*by, "part").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
+    start = F.struct(*[F.lit(0).cast(t).alias(c) for c, t in (("pos", "bigint"), ("neg", "bigint"), ("pairs", "double"))])
+    carried = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "pos", "neg", "pairs"))), start, lambda a, r: F.struct(
+        (a["pos"] + r["pos"]).alias("pos"), (a["neg"] + r["neg"]).alias("neg"),
+        (a["pairs"] + r["pairs"] + r["pos"].cast("double") * a["neg"]).alias("pairs")))
+    total = ranges.groupBy(*by).agg(carried.alias("t"))
+    return total.select(*by, ratio(F.col("t.pairs"), F.col("t.pos").cast("double") * F.col("t.neg")).alias("auc_roc"))
 
 
 METRICS = ["accuracy", "precision", "recall", "f1_score"]

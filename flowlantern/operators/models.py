@@ -172,13 +172,21 @@ def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name:
     return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, cv_f1 double, cv_sd double, best boolean, test_f1 double")
 
 
+def voted(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` with the predictions of all models in an array ``votes`` of (model, vote, model_confidence): one projection over one scan."""
+    out, columns = df, []
+    for i, (name, m) in enumerate(models.items()):
+        columns.append(f"_vote_{i}")
+        out = predict(name, m, out).withColumn(columns[-1], F.struct(
+            F.lit(name).alias("model"), F.col("prediction").alias("vote"), F.col("model_confidence").cast("double").alias("model_confidence")))
+        out = out.drop("prediction", "model_confidence", "score")
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return out.select(*kept, F.array(*columns).alias("votes"))
+
+
 def votes(models: dict, df: DataFrame) -> DataFrame:
     """Predictions of all models as a long table (pid, model, vote, model_confidence)."""
-    out = None
-    for name, m in models.items():
-        v = predict(name, m, df).select("pid", F.lit(name).alias("model"), F.col("prediction").alias("vote"), "model_confidence")
-        out = v if out is None else out.unionByName(v)
-    return out
+    return voted(models, df).select("pid", F.inline("votes"))
 
 
 # ---- persistence --------------------------------------------------------------------------------

@@ -167,6 +167,18 @@ def roc_auc(spark, d):
     return rounded(me.roc_auc(s), ["auc_roc"])
 
 
+@query("roc_auc_flows", FLOW_ROWS + f"""
+, s AS (SELECT label, CAST(byte_count AS DOUBLE) / packet_count AS score FROM f),
+g AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM s GROUP BY score),
+c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score) - neg AS below FROM g)
+SELECT {r6('sum(pos * (below + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg))')} AS auc_roc FROM c
+""", ("packets",), recursive=True)
+def roc_auc_flows(spark, d):
+    """How well the mean packet size of a flow, a score with many values, ranks the attacks."""
+    s = stored_flows(spark, d).select("label", (F.col("byte_count") / F.col("packet_count")).alias("score"))
+    return rounded(me.roc_auc(s), ["auc_roc"])
+
+
 @query("model_summary", METRIC_SQL + "\nUNION ALL ".join(
     f" SELECT '{m}' AS metric, (SELECT model FROM mm ORDER BY {m} DESC, model LIMIT 1) AS model, (SELECT {r6(f'max({m})')} FROM mm) AS value" for m in me.METRICS),
     ("votes_fx",))

@@ -9,7 +9,7 @@ from flowlantern.config import SECOND
 from flowlantern.operators import ensemble as en, features as ft, models as mo, notify as no, packets as pk, rules as ru
 from flowlantern.plans.base import query
 from flowlantern.session import scratch_path
-from flowlantern.sources import fixture as fx, readers
+from flowlantern.sources import fixture as fx, readers, sinks
 from flowlantern.streaming import alerts as sa, flows as sf, rules as sr, windows as sw
 
 PARTS = 3
@@ -48,12 +48,12 @@ def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 SELECT protocol, count(*) AS packets, CAST(sum(packet_size) AS BIGINT) AS bytes FROM packets GROUP BY 1
 """, ("packets",))
 def stream_packets(spark, d):
-    """Packets through a handler that appends each micro-batch to a table."""
+    """Packets through a handler that writes each micro-batch to its own part of a table."""
     out = scratch_path(spark, "captured")
     stream = open_feed(spark, fx.packets(spark, d), mark=False)
-    keep = lambda batch, _: pk.scan_packets(batch).write.mode("append").parquet(out)
+    keep = lambda batch, number: sinks.write_batch(pk.scan_packets(batch), out, number)
     readers.with_handlers(stream, [keep], scratch_path(spark, "captured-ckpt")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("protocol").agg(F.count("*").alias("packets"), F.sum("packet_size").alias("bytes"))
+    return sinks.read_batches(spark, out).groupBy("protocol").agg(F.count("*").alias("packets"), F.sum("packet_size").alias("bytes"))
 
 
 @query("streaming_windows", """
@@ -140,14 +140,14 @@ def streaming_scoring(spark, d):
 
     models, out = trained(spark, d)[0], scratch_path(spark, "scored")
 
-    def score(batch: DataFrame, _: int) -> None:
-        ends = batch.select(F.col("flow_pid").alias("pid"), F.col("end_us").alias("ts_us"), "src_ip", "dst_ip")
-        det = en.detections(mo.votes(models, ft.ml_flow_features(batch)), ends)
-        det.select("pid", "ts_us", "is_anomaly", "confidence").write.mode("append").parquet(out)
+    def score(batch: DataFrame, number: int) -> None:
+        rows = ft.ml_flow_features(batch, (F.col("end_us").alias("ts_us"), F.col("src_ip"), F.col("dst_ip")))
+        det = en.wide_detections(mo.voted(models, rows)).select("pid", "ts_us", "is_anomaly", "confidence")
+        sinks.write_batch(det, out, number)
 
     closed = sf.full_flows(open_feed(spark, fx.packets(spark, d)))
     readers.with_handlers(closed, [score], scratch_path(spark, "scored-ckpt")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return sinks.read_batches(spark, out)
 
 
 @query("delivery_sink", """

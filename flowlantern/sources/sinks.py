@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,13 @@ def write_by_date(df: DataFrame, path: str, ts: str = "ts_us", mode: str = "appe
     dated = df.withColumn("event_date", F.to_date(F.timestamp_micros(ts)))
     dated.repartitionByRange("event_date", ts).sortWithinPartitions("event_date", ts).write.mode(
         mode).partitionBy("event_date").parquet(path)
+
+
+def write_batch(batch: DataFrame, path: str, number: int) -> None:
+    """A micro-batch into its own folder ``batch_id=number``: a batch that is run again after a failure replaces what it wrote before."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={number}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``write_batch`` stored."""
+    return spark.read.parquet(path).drop("batch_id")
