@@ -17,16 +17,17 @@ from flowlantern.functions import net
 from flowlantern.operators.packets import bucket_start
 
 
-def conversations(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+def conversations(df: DataFrame, th: Thresholds = DEFAULTS, by: Column | None = None, *more: Column) -> DataFrame:
+    """One row per window and 5-tuple. ``by`` replaces the window column, for streams; ``more`` are further aggregates."""
     odd = (F.col("protocol") == "TCP") & (
         (F.col("flags") == "") | net.flags_are(F.col("flags"), "F") | net.flags_are(F.col("flags"), "FPU")
     )
     return df.groupBy(
-        bucket_start(th.window_us).alias("window_us"), "src_ip", "dst_ip",
+        bucket_start(th.window_us).alias("window_us") if by is None else by, "src_ip", "dst_ip",
         *[net.port_or_zero(F.col(c)).alias(c) for c in ("src_port", "dst_port")],
         F.upper("protocol").alias("protocol"),
     ).agg(
-        F.count("*").alias("n"), F.sum("packet_size").alias("b"), F.count_if(odd).alias("odd"),
+        F.count("*").alias("n"), F.sum("packet_size").alias("b"), F.count_if(odd).alias("odd"), *more,
     )
 
 
@@ -67,32 +68,36 @@ _SUMS = ["n", "b", "odd", "flow_keys", "outbound", "tcp", "udp", "icmp", "arp"]
 
 def window_measures(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Every plain measure of a window from one scan."""
-    conv = conversations(df, th)
+    return measures(conversations(df, th), th)
+
+
+def measures(conv: DataFrame, th: Thresholds = DEFAULTS, by: str = "window_us", more: tuple[str, ...] = ()) -> DataFrame:
+    """The measures of each window ``by`` from its conversations; ``more`` are further columns to add up."""
     src_in, dst_in = (net.is_internal_ip(F.col(c), th.internal_cidrs) for c in ("src_ip", "dst_ip"))
     conv = conv.withColumns({
         "cross": src_in != dst_in, "outbound": F.when(src_in & ~dst_in, F.col("b")).otherwise(0),
         "flow_keys": F.lit(1).cast("bigint"),
         **{p: F.when(F.col("protocol") == p.upper(), F.col("n")).otherwise(0) for p in ("tcp", "udp", "icmp", "arp")},
     })
-    none = F.lit(None)
+    none, sums = F.lit(None), [*_SUMS, *more]
 
     def entity(kind: str, name: Column, part: Column, counted: bool) -> Column:
         # the sums of a window ride on its targets alone, so that they are counted once
         return F.struct(
             F.lit(kind).alias("kind"), name.cast("string").alias("name"), part.cast("int").alias("part"),
-            *[(F.col(c) if counted else none).cast("bigint").alias(c) for c in _SUMS])
+            *[(F.col(c) if counted else none).cast("bigint").alias(c) for c in sums])
 
-    rows = conv.select("window_us", "cross", F.explode(F.array(
+    rows = conv.select(by, "cross", F.explode(F.array(
         entity("target", F.col("dst_ip"), none, True), entity("source", F.col("src_ip"), F.col("dst_port"), False),
         entity("port", F.col("src_port"), none, False), entity("port", F.col("dst_port"), none, False))).alias("x"))
-    rows = rows.select("window_us", "cross", "x.*").where("kind <> 'port' OR name <> '0'")
-    parts = rows.groupBy("window_us", "kind", "name", "part").agg(
-        F.max("cross").alias("cross"), *[F.sum(c).alias(c) for c in _SUMS])
-    names = parts.groupBy("window_us", "kind", "name").agg(
-        F.count_if("cross").alias("cross_ports"), *[F.sum(c).alias(c) for c in _SUMS])
+    rows = rows.select(by, "cross", "x.*").where("kind <> 'port' OR name <> '0'")
+    parts = rows.groupBy(by, "kind", "name", "part").agg(
+        F.max("cross").alias("cross"), *[F.sum(c).alias(c) for c in sums])
+    names = parts.groupBy(by, "kind", "name").agg(
+        F.count_if("cross").alias("cross_ports"), *[F.sum(c).alias(c) for c in sums])
     kind = F.col("kind")
-    return names.groupBy("window_us").agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
+    return names.groupBy(by).agg(
+        *[F.sum(c).alias(c) for c in sums],
         F.count_if(kind == "source").alias("unique_sources"), F.count_if(kind == "target").alias("unique_destinations"),
         F.count_if(kind == "port").alias("unique_ports"),
         F.max(F.when(kind == "target", F.col("n"))).alias("max_dst_packets"),
@@ -174,8 +179,12 @@ def unusual_protocol_scores(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFra
 
 def window_features(df: DataFrame, flows: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Every aggregate, pattern, ratio and score of a window in one row."""
+    return feature_row(window_measures(df, th).join(_flow_durations(flows, th), "window_us", "left"), th)
+
+
+def feature_row(rows: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """Features from measures and ``avg_flow_duration``; shared with the streaming form."""
     n = F.col("n")
-    rows = window_measures(df, th).join(_flow_durations(flows, th), "window_us", "left")
     return rows.select(
         "window_us", n.alias("total_packets"), F.col("b").alias("total_bytes"), "unique_sources", "unique_destinations",
         "unique_ports", (F.col("flow_keys") / _seconds(th)).alias("new_flows_per_second"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlantern.config import SECOND
-from flowlantern.operators import ensemble as en, features as ft, models as mo, notify as no, packets as pk, rules as ru
+from flowlantern.config import SCALED, SECOND
+from flowlantern.functions.net import round6
+from flowlantern.operators import ensemble as en, features as ft, flows as fl, models as mo, notify as no, packets as pk, rules as ru, windows as win
 from flowlantern.plans.base import query
+from flowlantern.plans.flows import DOUBLES, DST_IN, SRC_IN, rounded
 from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx, readers, sinks
 from flowlantern.streaming import alerts as sa, flows as sf, rules as sr, windows as sw
@@ -56,12 +58,28 @@ def stream_packets(spark, d):
     return sinks.read_batches(spark, out).groupBy("protocol").agg(F.count("*").alias("packets"), F.sum("packet_size").alias("bytes"))
 
 
-@query("streaming_windows", """
-SELECT ts_us - ts_us % 10000000 AS window_us, count(*) AS total_packets, CAST(sum(packet_size) AS BIGINT) AS total_bytes FROM packets GROUP BY 1
-""", ("packets",))
+def _window_oracle():
+    from flowlantern.plans.flows import FLOW_ROWS, FLOW_WINDOWS, _r, window_cte
+
+    return FLOW_ROWS + window_cte((5, 50), (20000, 200000)) + FLOW_WINDOWS + f"SELECT window_us, {_r(*win.WINDOW_VECTOR)} FROM wx"
+
+
+@query("streaming_windows", _window_oracle(), ("packets",), recursive=True)
 def streaming_windows(spark, d):
-    stream = open_feed(spark, fx.packets(spark, d))
-    return drain(spark, sw.streaming_windows(stream), "windows").select("window_us", "total_packets", "total_bytes")
+    """All columns of the batch window vector, from packets and from the flows that another stream has closed."""
+    closed = _streamed_flows(spark, d).select(
+        F.col("end_us").alias("ts_us"), "start_us", "end_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+    rows = sw.streaming_windows(open_feed(spark, fx.packets(spark, d)), open_feed(spark, closed), th=SCALED)
+    return rounded(win.window_vector(drain(spark, rows, "windows")), win.WINDOW_VECTOR)
+
+
+@query("streaming_scan_scores", f"""
+, p AS (SELECT ts_us - ts_us % 10000000 AS window_us, src_ip, coalesce(dst_port, 0) AS port FROM packets WHERE {SRC_IN} <> {DST_IN})
+, k AS (SELECT window_us, src_ip, count(DISTINCT port) AS ports FROM p GROUP BY 1, 2)
+SELECT window_us, max(ports) AS max_src_ports FROM k GROUP BY 1
+""", ("packets",))
+def streaming_scan_scores(spark, d):
+    return drain(spark, sw.streaming_scan_scores(open_feed(spark, fx.packets(spark, d))), "scans").select("window_us", "max_src_ports")
 
 
 @query("streaming_dos_scores", """
@@ -86,24 +104,31 @@ def streaming_idle_flows(spark, d):
     return drain(spark, sf.idle_flows(open_feed(spark, fx.packets(spark, d))), "idle-flows")
 
 
+_FLOW_COLUMNS = ["flow_pid", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us", "end_us", "packet_count",
+                 "byte_count", "min_packet_size", "max_packet_size", "src_to_dst_packets", "dst_to_src_packets", "src_to_dst_bytes",
+                 "dst_to_src_bytes", "is_internal_src", "is_internal_dst", "is_well_known_port", *[f"tcp_flag_{x}" for x in fl.FLAGS], "label"]
+
+
 def _flow_oracle():
     from flowlantern.plans.flows import FLOW_ROWS
 
-    return FLOW_ROWS + "SELECT flow_key, start_us, end_us, packet_count, byte_count, floor(iat_sd * 1e4 + 0.5) / 1e4 AS std_inter_arrival_time FROM f"
+    doubles = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e4 + 0.5) / 1e4 AS {c}" for c in DOUBLES)
+    return FLOW_ROWS + f"SELECT {', '.join(_FLOW_COLUMNS)}, {doubles} FROM f"
 
 
 @query("streaming_flows", _flow_oracle(), ("packets",), recursive=True)
 def streaming_flows(spark, d):
-    """The closed flows; their number and bounds equal the batch result."""
-    return _streamed_flows(spark, d).select("flow_key", "start_us", "end_us", "packet_count", "byte_count", (
-        F.floor(F.col("std_inter_arrival_time") * 1e4 + 0.5) / 1e4).alias("std_inter_arrival_time"))
+    """The closed flows with all features; sums of squares give their deviations, so four decimals are compared."""
+    return _streamed_flows(spark, d).select(
+        *_FLOW_COLUMNS, *[(F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in DOUBLES])
 
 
 def _match_oracle():
     from flowlantern.plans.rules import _REGEX, _SIMPLE, _sql, behavioural_sql
 
-    parts = [f"SELECT pid, signature_id, CAST(NULL AS BIGINT) AS frame_count FROM ({_sql(_SIMPLE + _REGEX)})"] + [
-        f"SELECT pid, signature_id, frame_count FROM ({behavioural_sql(i)})" for i in _RULES]
+    head = "pid, ts_us, source_ip, target_ip, signature_id, severity, category, floor(CAST(confidence AS DOUBLE) * 1e6 + 0.5) / 1e6 AS confidence"
+    parts = [f"SELECT {head}, CAST(NULL AS BIGINT) AS frame_count, CAST(NULL AS BIGINT) AS frame_distinct FROM ({_sql(_SIMPLE + _REGEX)})"] + [
+        f"SELECT {head}, frame_count, frame_distinct FROM ({behavioural_sql(i)})" for i in _RULES]
     return "\nUNION ALL ".join(parts)
 
 
@@ -114,10 +139,12 @@ _RULES = ("port_scan_basic", "port_scan_aggressive", "syn_flood", "udp_flood", "
 @query("streaming_matches", _match_oracle(), ("packets",))
 def streaming_matches(spark, d):
     p = fx.packets(spark, d)
-    quick = drain(spark, sr.stateless(open_feed(spark, p, mark=False), ru.DEFAULT_RULES).select("pid", "signature_id"), "quick")
+    quick = drain(spark, sr.stateless(open_feed(spark, p, mark=False), ru.DEFAULT_RULES), "quick")
     slow = drain(spark, sr.behavioural(open_feed(spark, p, mark=False), [ru.default_rule(i) for i in _RULES], buckets=spark.sparkContext.defaultParallelism), "slow")
-    return slow.select("pid", "signature_id", "frame_count").unionByName(
-        quick.withColumn("frame_count", F.lit(None).cast("bigint")))
+    none = F.lit(None).cast("bigint")
+    found = slow.unionByName(quick.withColumns({"frame_count": none, "frame_distinct": none}), allowMissingColumns=True)
+    return found.select("pid", "ts_us", "source_ip", "target_ip", "signature_id", "severity", "category",
+                        round6(F.col("confidence")).alias("confidence"), "frame_count", "frame_distinct")
 
 
 def _admission_oracle():

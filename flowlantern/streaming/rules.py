@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import replace
-from itertools import accumulate, groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +16,48 @@ from flowlantern.operators import rules as ru
 stateless = ru.stateless_matches  # a plain projection: the batch operator serves streams as it is
 
 _OUT = "pid bigint, ts_us bigint, src_ip string, dst_ip string, rule string, n bigint, d bigint"
-_STATE = (
-    "count_key array<string>, count_at array<bigint>, count_n array<bigint>, "
-    "value_key array<string>, value array<string>, value_seen array<bigint>"
-)
+_STATE = "key array<string>, value array<string>, at array<bigint>, n array<bigint>"
+
+
+def frame_counts(key: np.ndarray, value: np.ndarray, at: np.ndarray, n: np.ndarray, q_key: np.ndarray, q_at: np.ndarray,
+                 w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point (key, time): packets and distinct values of its key in the ``w`` microseconds up to it, ends included.
+
+    Sightings come as codes, ordered by (key, value, time) and not repeated; a negative value is none. A value counts from each
+    sighting until ``w`` after it or until its next one, so the distinct number moves by one at either end and is the starts
+    less the ends so far: sorting and binary search, whatever the number of values.
+    """
+    if not len(at):
+        return np.zeros(len(q_at), np.int64), np.zeros(len(q_at), np.int64)
+    origin = min(at.min(), q_at.min() if len(q_at) else at.min()) - w - 1
+    span = max(at.max(), q_at.max() if len(q_at) else at.max()) - origin + w + 2  # keys lie this far apart on one axis
+    place = key * span + (at - origin)
+    point = q_key * span + (q_at - origin)
+    order = np.argsort(place, kind="stable")
+    running = np.concatenate(([0], np.cumsum(n[order])))
+    sorted_place = place[order]
+    frame = running[np.searchsorted(sorted_place, point, side="right")] - running[np.searchsorted(sorted_place, point - w)]
+    some = value >= 0
+    place, of_key, of_value = place[some], key[some], value[some]
+    end = place + w + 1
+    if len(place):
+        same = (of_key[1:] == of_key[:-1]) & (of_value[1:] == of_value[:-1])
+        end[:-1] = np.where(same, np.minimum(end[:-1], place[1:]), end[:-1])
+    begin, end = np.sort(place), np.sort(end)
+    first = q_key * span  # all keys before this one have as many ends as starts
+    d = (np.searchsorted(begin, point, side="right") - np.searchsorted(begin, first)) - (
+        np.searchsorted(end, point, side="right") - np.searchsorted(end, first))
+    return frame, d
 
 
 def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 seconds", buckets: int = 256) -> DataFrame:
     """Behavioural rules. State is kept per (rule, slice as long as the frame, hash bucket of the key): a packet goes to
-    its own slice, and tracked packets also to the next one, which their frame can reach. So state is bounded, counts
-    per microsecond and the last sighting of each value, and is dropped by the watermark when the slice is over.
-    Matches come out in the batch in which the packet arrives. ``buckets`` is the parallelism of a slice: each group
-    costs a call per batch, so it should follow the number of cores, not the number of keys.
+    its own slice, and tracked packets also to the next one, which their frame can reach. So state is bounded, one entry
+    per (key, value, microsecond), and is dropped by the watermark when the slice is over.
+    Matches come out in the batch in which the packet arrives, judged on all that has arrived by then: a packet that is late, but
+    within ``delay``, sees the sightings of its own frame, also where its values have been seen again since.
+    ``buckets`` is the parallelism of a slice: each group costs a call per batch, so it should follow the number of cores, not the
+    number of keys.
     """
     specs = [replace(s, slice_us=s.window_us) for s in (ru._spec(r) for r in rules if r.pattern_type == "behavioral")]
     limits = {s.rule.id: (s.threshold, s.by_distinct, s.window_us) for s in specs}
@@ -38,7 +66,6 @@ def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 second
     last = F.when(F.col("tracked"), ru._slice_of(F.col("ts_us") + F.col("w"))).otherwise(own)
     rows = rows.withColumn("home", own).withColumn("slice", F.explode(F.sequence(own, last))).withColumn(
         "bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    fields = ["key", "ts_us", "pid", "src_ip", "dst_ip", "tracked", "value", "home"]
 
     def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rule, slice_no = group[0], int(group[1])
@@ -46,38 +73,24 @@ def behavioural(stream: DataFrame, rules: list[ru.Rule], delay: str = "30 second
         if state.hasTimedOut:
             state.remove()
             return
-        counts: dict[str, Counter] = defaultdict(Counter)
-        sightings: dict[str, dict] = defaultdict(dict)
+        new = pd.concat(list(batches), ignore_index=True)
+        seen = new.loc[new["tracked"], ["key", "value", "ts_us"]].rename(columns={"ts_us": "at"}).assign(n=1)
         if state.exists:
-            ck, ca, cn, vk, vv, vs = state.get
-            for k, t, n in zip(ck, ca, cn):
-                counts[k][t] = n
-            for k, v, t in zip(vk, vv, vs):
-                sightings[k][v] = t
-        out = []
-        rows = sorted((r for pdf in batches for r in zip(*(pdf[f].tolist() for f in fields))), key=lambda r: r[:3])
-        for key, of_key in groupby(rows, key=lambda r: r[0]):
-            of_key, count, last_seen = list(of_key), counts[key], sightings[key]
-            count.update(r[1] for r in of_key if r[5])
-            at = sorted(count)
-            running = [0, *accumulate(count[t] for t in at)]
-            for t, same in groupby(of_key, key=lambda r: r[1]):  # rows of equal time see each other
-                same = list(same)
-                for r in same:
-                    if r[5] and r[6] is not None:
-                        last_seen[r[6]] = max(t, last_seen.get(r[6], t))
-                points = [r for r in same if r[7] == slice_no]
-                frame = running[bisect_right(at, t)] - running[bisect_left(at, t - w)]
-                if points and frame >= threshold:  # there are at least as many packets as distinct values
-                    d = sum(1 for s in last_seen.values() if t - w <= s <= t)
-                    if (d if distinct else frame) >= threshold:
-                        out += [(r[2], t, r[3], r[4], rule, frame, d) for r in points]
-        c = [(k, t, n) for k, x in counts.items() for t, n in x.items()]
-        v = [(k, x, t) for k, y in sightings.items() for x, t in y.items()]
-        if c:
-            state.update(tuple([x[i] for x in part] for part in (c, v) for i in range(3)))
+            seen = pd.concat([pd.DataFrame(dict(zip(("key", "value", "at", "n"), map(list, state.get)))), seen], ignore_index=True)
+        seen = seen.groupby(["key", "value", "at"], dropna=False, as_index=False, sort=False)["n"].sum()
+        codes, keys = pd.factorize(pd.concat([seen["key"], new["key"]], ignore_index=True))
+        values, _ = pd.factorize(seen["value"])  # null is -1
+        at, n, of_key = seen["at"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), codes[:len(seen)]
+        order = np.lexsort((at, values, of_key))
+        points = new.assign(code=codes[len(seen):])
+        points = points[(points["home"] == slice_no).to_numpy()]
+        frame, d = frame_counts(of_key[order], values[order], at[order], n[order],
+                                points["code"].to_numpy(np.int64), points["ts_us"].to_numpy(np.int64), w)
+        if len(seen):
+            state.update(tuple(seen[c].astype(object).where(seen[c].notna(), None).tolist() for c in ("key", "value", "at", "n")))
             state.setTimeoutTimestamp(max((slice_no + 1) * w // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["pid", "ts_us", "src_ip", "dst_ip", "rule", "n", "d"])
+        points = points.assign(rule=rule, n=frame, d=d)
+        yield points.loc[(d if distinct else frame) >= threshold, ["pid", "ts_us", "src_ip", "dst_ip", "rule", "n", "d"]]
 
     raw = rows.groupBy("rule", "slice", "bucket").applyInPandasWithState(
         run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

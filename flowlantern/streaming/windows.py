@@ -18,29 +18,33 @@ def _start() -> list:
     return [F.unix_micros(F.col("window.start")).alias("window_us")]
 
 
-def streaming_windows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
-    """Totals, protocol shares, exfiltration and unusual-protocol scores; distinct counts are approximate.
+def streaming_windows(stream: DataFrame, closed: DataFrame | None = None, delay: str = "30 seconds",
+                      flow_delay: str = "150 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
+    """Every aggregate, pattern, ratio and score of a window, all counts exact: the columns of ``windows.window_features``.
 
-    State is one sketch-sized row per open window.
+    Four chained aggregations, as in the batch form: conversations, then the ports of a source, then sources, targets and
+    ports, then the window. State is a few numbers per open conversation and entity, spread over all tasks, and is
+    dropped when the watermark passes the window.
+
+    ``closed`` is a stream of closed flows with event time ``ts`` at their end (``start_us``, ``end_us``, addresses, ports, protocol).
+    They travel beside the packets of the window they end in. An idle flow is known a minute after its end, so its stream has its own
+    delay, ``flow_delay``; a window comes out when both watermarks have passed it. Without it, ``avg_flow_duration`` is 0.
     """
-    s, w = _windowed(stream, delay, th)
-    p = F.upper("protocol")
-    src_in, dst_in = (net.is_internal_ip(F.col(c), th.internal_cidrs) for c in ("src_ip", "dst_ip"))
-    flags = F.col("flags")
-    odd = (p == "TCP") & ((flags == "") | net.flags_are(flags, "F") | net.flags_are(flags, "FPU"))
-    g = s.groupBy(w).agg(
-        F.count("*").alias("total_packets"), F.sum("packet_size").alias("total_bytes"),
-        F.approx_count_distinct("src_ip").alias("unique_sources"), F.approx_count_distinct("dst_ip").alias("unique_destinations"),
-        *[F.count_if(p == x).alias(f"{x.lower()}_packets") for x in ("TCP", "UDP", "ICMP")],
-        F.sum(F.when(src_in & ~dst_in, F.col("packet_size")).otherwise(0)).alias("outbound_bytes"),
-        F.count_if(odd).alias("odd_packets"),
-    )
-    n = F.col("total_packets")
-    return g.select(
-        *_start(), "total_packets", "total_bytes", "unique_sources", "unique_destinations",
-        *[(F.col(f"{x}_packets") / n).alias(f"{x}_ratio") for x in ("tcp", "udp", "icmp")],
-        win.exfil_score(F.col("outbound_bytes"), th).alias("data_exfiltration_score"),
-        win.unusual_score(F.col("icmp_packets"), n, F.col("odd_packets"), th).alias("unusual_protocol_score"))
+    columns = ["ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_size", "flags"]
+    rows, w = _windowed(stream.select(*columns), delay, th)
+    rows = rows.withColumn("flow_us", F.lit(None).cast("bigint"))
+    if closed is not None:
+        ends = closed.withWatermark("ts", flow_delay).select(
+            "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", F.lit(None).cast("int").alias("packet_size"),
+            F.lit(None).cast("string").alias("flags"), (F.col("end_us") - F.col("start_us")).alias("flow_us"))
+        rows = rows.unionByName(ends)
+    is_flow = F.col("flow_us").isNotNull()
+    conv = win.conversations(rows, th, w, F.count_if(is_flow).alias("ended"), F.sum("flow_us").alias("flow_us"))
+    conv = conv.withColumn("n", F.col("n") - F.col("ended"))
+    m = win.measures(conv, th, "window", ("ended", "flow_us"))
+    m = m.select(F.unix_micros(F.col("window.start")).alias("window_us"), "*").withColumn(
+        "avg_flow_duration", F.col("flow_us") / F.col("ended") / SECOND)
+    return win.feature_row(m, th)
 
 
 def streaming_dos_scores(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:

@@ -1,12 +1,16 @@
 """Streams: restart from a checkpoint, late rows, retries."""
 
+import time
+
+import numpy as np
 import pytest
-from helpers import S, packet, packets
+from helpers import S, T0, packet, packets
 
-from flowlantern.operators import notify as no, windows as win
+from flowlantern.operators import notify as no, rules as ru, windows as win
 from flowlantern.session import scratch_path
 from flowlantern.sources import readers
-from flowlantern.streaming import alerts as sa, flows as sf, windows as sw
+from flowlantern.streaming import alerts as sa, flows as sf, rules as sr, windows as sw
+from flowlantern.streaming.rules import frame_counts
 
 
 def _run(spark, stream, out, ckpt):
@@ -37,7 +41,7 @@ def test_late_rows_are_dropped_by_the_watermark(spark):
     write([packet(3, 2 * S), packet(4, 190 * S)])  # the first is too late, the second within the delay
     write([packet(5, 9000 * S)])
     stream = readers.stream_packets(spark, feed, files_per_trigger=1)
-    got = _run(spark, sw.streaming_windows(stream, "30 seconds"), out, ckpt).orderBy("window_us").collect()
+    got = _run(spark, sw.streaming_windows(stream, delay="30 seconds"), out, ckpt).orderBy("window_us").collect()
     assert [r.total_packets for r in got] == [2, 1, 2]
 
 
@@ -53,6 +57,54 @@ def test_scan_scores_match_batch(spark):
     assert pick(got) == pick(want)
 
 
+def test_frame_counts_equal_a_plain_count():
+    rng = np.random.default_rng(4)
+    w, seen = 50, {}
+    for k, v, t in zip(rng.integers(0, 3, 400), rng.integers(-1, 6, 400), rng.integers(0, 600, 400)):
+        seen[int(k), int(v), int(t)] = seen.get((int(k), int(v), int(t)), 0) + 1
+    rows = sorted(seen)
+    cols = [np.array(c, np.int64) for c in zip(*[(*r, seen[r]) for r in rows])]
+    q = [(int(k), int(t)) for k, t in zip(rng.integers(0, 4, 300), rng.integers(0, 700, 300))]
+    frame, d = frame_counts(*cols, np.array([k for k, _ in q]), np.array([t for _, t in q]), w)
+    for (k, t), a, b in zip(q, frame, d):
+        near = [r for r in rows if r[0] == k and t - w <= r[2] <= t]
+        assert (a, b) == (sum(seen[r] for r in near), len({r[1] for r in near if r[1] >= 0}))
+
+
+def test_many_spoofed_sources_take_linear_time():
+    n = 200_000
+    at, code = np.arange(n, dtype=np.int64) * 100, np.arange(n, dtype=np.int64)
+    begin = time.perf_counter()
+    frame, d = frame_counts(np.zeros(n, np.int64), code, at, np.ones(n, np.int64), np.zeros(n, np.int64), at, 10 * S)
+    assert time.perf_counter() - begin < 5 and frame[-1] == d[-1] == 100_001  # both ends of the frame count
+
+
+def test_late_packets_see_their_own_frame(spark):
+    """A value that was seen again later still counts for a late packet whose frame holds its first sighting."""
+    feed, out, ckpt = (scratch_path(spark, n) for n in ("feed", "out", "ckpt"))
+    write = lambda rows: packets(spark, rows).coalesce(1).write.mode("append").parquet(feed)
+    write([packet(i, i * S, src="9.9.9.9", dst="10.0.0.5", dport=1 + i) for i in range(9)])
+    write([packet(20 + i, (25 + i) * S, src="9.9.9.9", dst="10.0.0.5", dport=1 + i) for i in range(9)])
+    write([packet(50, 15 * S, src="9.9.9.9", dst="10.0.0.5", dport=90)])  # late, within the delay
+    stream = readers.stream_packets(spark, feed, files_per_trigger=1)
+    got = _run(spark, sr.behavioural(stream, [ru.default_rule("port_scan_basic")], buckets=1), out, ckpt).collect()
+    assert [(r.pid, r.frame_count, r.frame_distinct) for r in got] == [(50, 10, 10)]
+
+
+def test_windows_hold_the_flows_that_end_in_them(spark):
+    feed, flows, out, ckpt = (scratch_path(spark, n) for n in ("feed", "flows", "out", "ckpt"))
+    rows = [packet(i, i * S, src=f"9.9.9.{i % 3}", dst="10.0.0.5", dport=80 + i % 4) for i in range(40)]
+    packets(spark, rows).coalesce(1).write.parquet(feed)
+    packets(spark, [packet(99, 9000 * S)]).coalesce(1).write.mode("append").parquet(feed)
+    ddl = "ts_us bigint, start_us bigint, end_us bigint, src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
+    ends = [(T0 + e * S, T0 + b * S, T0 + e * S, "9.9.9.1", "10.0.0.5", 1000, 80, "TCP") for b, e in ((0, 4), (1, 3), (2, 15), (0, 9000))]
+    spark.createDataFrame(ends, ddl).coalesce(1).write.parquet(flows)
+    got = _run(spark, sw.streaming_windows(readers.stream_packets(spark, feed), readers.stream_packets(spark, flows, schema=ddl)), out, ckpt)
+    got = {(r.window_us - T0) // S: r for r in got.collect()}
+    assert [got[w].avg_flow_duration for w in (0, 10, 20, 30)] == [3.0, 13.0, 0.0, 0.0]
+    assert all((r.total_packets, r.unique_sources, r.unique_destinations, r.unique_ports) == (10, 3, 1, 5) for r in got.values())
+
+
 @pytest.mark.parametrize("failures,success,retries", [(0, True, 0), (2, True, 2), (9, False, 2)])
 def test_delivery_retries(spark, failures, success, retries):
     df = spark.createDataFrame([(1, 0, "HIGH", "NEW", "a", "b", "dos", 0.5, "manual")],
