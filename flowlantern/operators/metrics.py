@@ -80,6 +80,6 @@ def text_report(metrics: DataFrame) -> DataFrame:
     """One line per model; ``cv_mean`` and ``cv_sd`` are shown where present."""
     cv = F.lit("")
     if "cv_mean" in metrics.columns:
-        cv = F.format_string(", cv %.4f +/- %.4f", "cv_mean", "cv_sd")
+        cv = F.when(F.col("cv_mean").isNotNull(), F.format_string(", cv %.4f +/- %.4f", "cv_mean", "cv_sd")).otherwise("")
     return metrics.select("model", F.concat(F.format_string(
         "%s: accuracy %.4f, precision %.4f, recall %.4f, f1 %.4f", "model", *METRICS), cv).alias("line"))

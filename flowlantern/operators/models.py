@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -31,6 +32,8 @@ class ModelSettings:
     nu: float = 0.1
     seed: int = 42
     logistic_iterations: int = 1000
+    svm_iterations: int = 100
+    cost: float = 1.0
     enabled: tuple[str, ...] = ("random_forest", "isolation_forest", "one_class_svm")
     evaluators: dict = field(default_factory=dict)
 
@@ -73,7 +76,7 @@ def train(name: str, df: DataFrame, features: list[str], s: ModelSettings = Mode
     if name == "one_class_svm":
         return fit_one_class_svm(normal_rows(df), features, s.nu, seed=s.seed)
     if name == "svm":
-        return fit_kernel_svc(df, features, seed=s.seed)
+        return fit_kernel_svc(df, features, seed=s.seed, iterations=s.svm_iterations, cost=s.cost)
     raise ValueError(f"unknown model {name}")
 
 
@@ -107,8 +110,12 @@ def auc(name: str, model, test: DataFrame) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(scored)
 
 
-def train_all(df: DataFrame, features: list[str], s: ModelSettings = ModelSettings()) -> tuple[dict, DataFrame]:
-    """Every enabled model, fitted on 80 % and evaluated on 20 %: (models, table of metrics, AUC and fit time)."""
+def train_all(df: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), folds: int = 0) -> tuple[dict, DataFrame]:
+    """Every enabled model, fitted on 80 % and evaluated on 20 %: (models, table of metrics, AUC and fit time).
+
+    With ``folds`` the table also has ``cv_mean`` and ``cv_sd``, the weighted F1 of the classifiers over folds of the training
+    rows; the one-class models, which learn from normal rows only, have nulls there.
+    """
     tr, te = split(df)
     tr = tr.persist()
     models, info, table = {}, [], None
@@ -117,11 +124,15 @@ def train_all(df: DataFrame, features: list[str], s: ModelSettings = ModelSettin
         models[n] = train(n, tr, features, s)
         seconds = time.perf_counter() - begin
         # ranking quality needs class probabilities, which the one-class models do not give
-        info.append((n, None if n in ANOMALY_MODELS else float(auc(n, models[n], te)), seconds))
+        one_class = n in ANOMALY_MODELS
+        cv = fold_scores(tr, features, (n,), folds, s).first() if folds and not one_class else None
+        info.append((n, None if one_class else float(auc(n, models[n], te)), seconds, cv and cv.cv_f1, cv and cv.cv_sd))
         row = evaluate(n, models[n], te)
         table = row if table is None else table.unionByName(row)
     tr.unpersist()
-    facts = df.sparkSession.createDataFrame(info, "model string, auc_roc double, train_seconds double")
+    facts = df.sparkSession.createDataFrame(info, "model string, auc_roc double, train_seconds double, cv_mean double, cv_sd double")
+    if not folds:
+        facts = facts.drop("cv_mean", "cv_sd")
     return models, table.join(F.broadcast(facts), "model")  # one row per model
 
 
@@ -152,12 +163,43 @@ def fold_scores(df: DataFrame, features: list[str], names: tuple[str, ...], fold
     return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double, cv_f1 double, cv_sd double")
 
 
+# ---- fixed values: what can be searched, by the names of ModelSettings or of the MLlib estimator
+SEARCHABLE = {
+    "random_forest": None, "logistic_regression": None, "isolation_forest": {"trees", "contamination"},
+    "one_class_svm": {"nu"}, "svm": {"cost", "svm_iterations"},
+}
+
+
 def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name: str = "random_forest", folds: int = 5,
                 s: ModelSettings = ModelSettings()) -> tuple[object, DataFrame]:
-    """(best model, table of parameters with their mean score and whether they won)."""
-    if name not in ("random_forest", "logistic"):
-        raise ValueError(f"no search for {name}: random_forest and logistic can be tuned")
+    """(best model, table of parameters with their mean score and whether they won).
+
+    The forest and the logistic model take parameters of their MLlib estimators; the isolation forest, the one-class SVM and the
+    kernel SVC those fields of ``ModelSettings`` that ``SEARCHABLE`` names. All are scored by weighted F1 over the same folds of the
+    training rows; the winner is fitted on all of them and scored once on the test rows. Of equal scores the first in the grid wins.
+    """
+    if name not in SEARCHABLE:
+        raise ValueError(f"no search for {name}: {', '.join(SEARCHABLE)} can be tuned")
     tr, te = split(df)
+    if SEARCHABLE[name] is None:
+        best_model, found, test_f1 = _search_mllib(name, tr, te, features, grid, folds, s)
+    else:
+        unknown = set(grid) - SEARCHABLE[name]
+        if unknown:
+            raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
+        settings = [replace(s, **dict(zip(grid, values))) for values in itertools.product(*grid.values())]
+        found = []
+        for one in settings:
+            row = fold_scores(tr, features, (name,), folds, one).first()
+            found.append((", ".join(f"{k}={getattr(one, k)}" for k in sorted(grid)), row.cv_f1, row.cv_sd))
+        best_model = train(name, tr, features, settings[max(range(len(found)), key=lambda i: found[i][1])])
+        test_f1 = evaluate(name, best_model, te).first().f1_score
+    best = max(range(len(found)), key=lambda i: found[i][1])
+    rows = [(*row, i == best, float(test_f1) if i == best else None) for i, row in enumerate(found)]
+    return best_model, df.sparkSession.createDataFrame(rows, "params string, cv_f1 double, cv_sd double, best boolean, test_f1 double")
+
+
+def _search_mllib(name: str, tr: DataFrame, te: DataFrame, features: list[str], grid: dict[str, list], folds: int, s: ModelSettings):
     pipe = random_forest(features, s) if name == "random_forest" else logistic_regression(features, tr.count(), s)
     est, builder = pipe.getStages()[-1], ParamGridBuilder()
     for p, values in grid.items():
@@ -166,10 +208,9 @@ def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], name:
     fitted = cross_validate(tr, pipe, maps, folds)
     test_f1 = MulticlassClassificationEvaluator(metricName="f1", labelCol="label").evaluate(
         fitted.bestModel.transform(_labelled(te)))
-    best = max(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
-    rows = [(", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), float(sd), i == best,
-             float(test_f1) if i == best else None) for i, (m, a, sd) in enumerate(zip(maps, fitted.avgMetrics, fitted.stdMetrics))]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, cv_f1 double, cv_sd double, best boolean, test_f1 double")
+    found = [(", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), float(sd))
+             for m, a, sd in zip(maps, fitted.avgMetrics, fitted.stdMetrics)]
+    return fitted.bestModel, found, test_f1
 
 
 def voted(models: dict, df: DataFrame) -> DataFrame:

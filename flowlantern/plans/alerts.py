@@ -364,6 +364,35 @@ def export_alerts(spark, d):
     return spark.read.option("header", True).csv(path)
 
 
+@query("export_alerts_json", """
+, x AS (SELECT * FROM alerts_fx WHERE ts_us BETWEEN 1704067800000000 AND 1704069000000000)
+SELECT 'alert' AS part, CAST(alert_id AS VARCHAR) AS id, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, priority, target_ip, confidence, 1 AS alerts FROM x
+UNION ALL SELECT 'total', NULL, NULL, NULL, NULL, NULL, count(*) FROM x
+UNION ALL SELECT 'priority', NULL, NULL, priority, NULL, NULL, count(*) FROM x GROUP BY priority
+""", ("alerts_fx",))
+def export_alerts_json(spark, d):
+    """The JSON lines and their envelope, written and read back."""
+    path = scratch_path(spark, "alerts-json")
+    sinks.export_alerts(alerts_fx(spark, d), path, "json", 1704067800000000, 1704069000000000)
+    lines = spark.read.schema("id string, timestamp string, priority string, target_ip string, confidence double").json(f"{path}/alerts")
+    head = spark.read.schema("total_alerts bigint, alerts_by_priority map<string, bigint>").json(f"{path}/envelope")
+    rows = lines.withColumns({"part": F.lit("alert"), "alerts": F.lit(1).cast("bigint")})
+    total = head.select(F.lit("total").alias("part"), F.col("total_alerts").alias("alerts"))
+    each = head.select(F.lit("priority").alias("part"), F.explode("alerts_by_priority").alias("priority", "alerts"))
+    return rows.unionByName(total, allowMissingColumns=True).unionByName(each, allowMissingColumns=True)
+
+
+@query("group_retention", correlation_sql("alerts_fx") + """
+, t AS (SELECT max(ts_us) AS now FROM alerts_fx)
+SELECT correlation_id, last_seen_us FROM grp, t WHERE last_seen_us >= now - 600000000
+""", ("alerts_fx",))
+def group_retention(spark, d):
+    """Correlation groups seen within the retention time."""
+    a = alerts_fx(spark, d)
+    kept = al.retain_groups(al.correlation_groups(a), a.agg(F.max("ts_us")).scalar(), replace(DEFAULTS, retention_us=600 * SECOND))
+    return kept.select("correlation_id", "last_seen_us")
+
+
 @query("alert_file_sink", """
 SELECT '{"timestamp":' || ts_us || ',"alert_id":' || alert_id || ',"priority":"' || priority || '","status":"' || status || '","source_ip":"' || source_ip
   || '",' || CASE WHEN target_ip IS NULL THEN '' ELSE '"target_ip":"' || target_ip || '",' END || '"attack_type":"' || attack_type

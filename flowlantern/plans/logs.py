@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlantern.operators import logs as lg, quality as qu
 from flowlantern.plans.base import query
 from flowlantern.plans.flows import FLOW_ROWS, stored_flows
+from flowlantern.plans.rules import ALL_SQL, matches
 from flowlantern.session import scratch_path
 from flowlantern.sources import fixture as fx, sinks
 
@@ -85,6 +87,34 @@ def export_logs(spark, d):
     return sinks.log_text_lines(rows).select("log_id", "block").join(csv, "log_id")
 
 
+@query("export_logs_text", """
+SELECT '[' || strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S') || '] ' || level || ' ' || component || ': ' || message AS line, count(*) AS entries
+FROM logs_fx WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1
+""", ("logs_fx",))
+def export_logs_text(spark, d):
+    """The text layout written and read back: the head line of every entry."""
+    path = scratch_path(spark, "logs-txt")
+    sinks.export_logs(lg.with_details(logs(spark, d)).where(F.col("level").isin("ERROR", "CRITICAL")), path, "txt")
+    return spark.read.text(path).where(F.col("value").startswith("[")).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("entries"))
+
+
+@query("export_logs_json", """
+SELECT log_id, ts_us, level, component, message, source_ip, CAST(row_number() OVER (ORDER BY ts_us, log_id) AS BIGINT) AS place FROM logs_fx
+""", ("logs_fx",))
+def export_logs_json(spark, d):
+    """JSON lines written and read back, with the place of each in the files by name and line: ascending time."""
+    path = scratch_path(spark, "logs-json")
+    sinks.export_logs(logs(spark, d), path, "json")
+    rows = spark.read.schema("log_id bigint, ts_us bigint, level string, component string, message string, source_ip string").json(path)
+    # the files of a sorted write are numbered in order; each is counted by itself and the lines of those before are added
+    at = rows.withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()})
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    first = at.groupBy("file").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))  # one row per file
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return at.withColumn("inside", inside).join(first, "file").select(
+        "log_id", "ts_us", "level", "component", "message", "source_ip", (F.col("base") + F.col("inside")).alias("place"))
+
+
 # ---- quality ------------------------------------------------------------------------------------
 DIRTY = """SELECT pid, CASE WHEN pid % 50 = 1 THEN 'unknown' WHEN pid % 50 = 2 THEN '256.1.1.1' WHEN pid % 50 = 3 THEN '2001:db8::1' ELSE src_ip END AS src_ip, dst_ip,
   CASE WHEN pid % 53 = 0 THEN 'XX' WHEN pid % 7 = 0 THEN lower(protocol) ELSE protocol END AS protocol,
@@ -135,3 +165,20 @@ def validate_records(spark, d):
     messages = logs(spark, d).select(F.col("log_id").alias("alert_id"), qu.clean_text(text).alias("text"))
     return qu.validate_alerts(dirty, now).join(messages, "alert_id").select(
         "alert_id", F.array_join("violations", ",").alias("violations"), "text")
+
+
+@query("validate_matches", ALL_SQL + """
+, x AS (SELECT pid, signature_id, CASE WHEN pid % 5 = 0 THEN 'NONE' ELSE severity END AS severity, CASE WHEN pid % 7 = 0 THEN confidence + 1.01 ELSE confidence END AS confidence,
+  CASE WHEN pid % 3 = 0 THEN 'nowhere' ELSE target_ip END AS target_ip FROM m)
+SELECT pid, signature_id, concat_ws(',', CASE WHEN severity = 'NONE' THEN 'severity' END, CASE WHEN confidence > 1 THEN 'confidence' END,
+  CASE WHEN target_ip = 'nowhere' THEN 'target_ip' END) AS violations FROM x
+""", ("packets",))
+def validate_matches(spark, d):
+    """All matches with faults put into some, and the faults found."""
+    i = F.col("pid")
+    m = matches(spark, d).withColumns({
+        "severity": F.when(i % 5 == 0, "NONE").otherwise(F.col("severity")),
+        "confidence": F.when(i % 7 == 0, F.col("confidence") + 1.01).otherwise(F.col("confidence")),
+        "target_ip": F.when(i % 3 == 0, "nowhere").otherwise(F.col("target_ip"))})
+    now = fx.packets(spark, d).agg(F.max("ts_us")).scalar()
+    return qu.validate_matches(m, now).select("pid", "signature_id", F.array_join("violations", ",").alias("violations"))

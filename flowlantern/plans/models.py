@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlantern.config import SCALED
-from flowlantern.operators import ensemble as en, features as ft, flows as fl, models as mo, windows as win
+from flowlantern.operators import ensemble as en, features as ft, flows as fl, metrics as me, models as mo, windows as win
 from flowlantern.plans.base import once, query
 from flowlantern.plans.flows import stored_flows
 from flowlantern.session import scratch_path
@@ -17,7 +17,7 @@ def flow_table(spark, d):
 
 
 def trained(spark, d):
-    return once(spark, d, "models", lambda: mo.train_all(flow_table(spark, d), ft.FLOW_FEATURES))
+    return once(spark, d, "models", lambda: mo.train_all(flow_table(spark, d), ft.FLOW_FEATURES, folds=5))
 
 
 def _one(spark, d, name):
@@ -56,6 +56,18 @@ def grid_search(spark, d):
     return mo.grid_search(flow_table(spark, d), ft.FLOW_FEATURES, {"maxDepth": [3, 6, 10]})[1]
 
 
+@query("one_class_search")
+def one_class_search(spark, d):
+    """Contamination of the isolation forest, over the folds that all searches share."""
+    return mo.grid_search(flow_table(spark, d), ft.FLOW_FEATURES, {"contamination": [0.05, 0.1]}, "isolation_forest")[1]
+
+
+@query("trained_report")
+def trained_report(spark, d):
+    """One line for each trained model, with mean and sd over its folds where it has them."""
+    return me.text_report(trained(spark, d)[1])
+
+
 @query("save_load_models")
 def save_load_models(spark, d):
     """Predictions of the models after a round trip through storage."""

@@ -8,7 +8,7 @@ from compare import connect, diff
 from flowlantern.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"grid_search", "stratified_cv", "kernel_svc", "detect_windows"}  # model fits; covered in test_models
+SLOW = {"grid_search", "one_class_search", "stratified_cv", "kernel_svc", "detect_windows"}  # model fits; covered in test_models
 
 
 @pytest.fixture(scope="module")

@@ -2,10 +2,12 @@
 
 import os
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 
-from flowlantern.operators import models as mo
+from flowlantern.operators import kernel, metrics as me, models as mo
 from flowlantern.plans.registry import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -47,3 +49,58 @@ def test_fold_scores_are_those_of_the_folds(spark):
     for a, b in (got[:2], got[2:]):
         assert a.cv_f1 == b.cv_f1 == pytest.approx((a.f1 + b.f1) / 2) and a.cv_sd == pytest.approx(abs(a.f1 - b.f1) / 2)
     assert got[0].cv_f1 > 0.97
+
+
+def _clusters(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 1), 0) for i in range(200)] + [(5000 + i, rng.gauss(-9, 1), rng.gauss(16, 1), 1) for i in range(40)]
+    return spark.createDataFrame(rows, "pid bigint, a double, b double, label int")
+
+
+def test_one_class_svm_does_not_depend_on_partitions(spark):
+    df = _clusters(spark).where("label = 0")
+    one, many = (kernel.fit_one_class_svm(df.repartition(p), ["a", "b"]) for p in (1, 16))
+    assert one.converged and one.passes == many.passes
+    assert abs(one.weights - many.weights).max() < 1e-6 and one.rho == pytest.approx(many.rho, abs=1e-6)
+    share = one.transform(df).agg({"prediction": "avg"}).first()[0]
+    assert 0.05 < share < 0.15  # nu
+    assert one.transform(_clusters(spark).where("label = 1")).agg({"prediction": "avg"}).first()[0] > 0.95
+
+
+def test_the_bound_of_passes_is_reported(spark):
+    with pytest.warns(UserWarning, match="stopped after 2 passes"):
+        assert not kernel.fit_one_class_svm(_clusters(spark), ["a", "b"], iterations=2).converged
+
+
+def test_histogram_quantile_is_within_a_bin():
+    values = np.random.default_rng(2).normal(0, 0.2, 5000)
+    counts, _ = np.histogram(values, bins=1000, range=(-1.5, 1.5))
+    for q in (0.01, 0.1, 0.5, 0.9):
+        assert abs(kernel.histogram_quantile(counts, -1.5, 1.5, q) - np.quantile(values, q)) < 0.006
+
+
+@pytest.mark.parametrize("name,grid", [("isolation_forest", {"contamination": [0.01, 0.3]}), ("svm", {"cost": [1.0]}),
+                                       ("logistic_regression", {"regParam": [0.01, 1.0]})])
+def test_other_models_are_searched(spark, name, grid):
+    s = mo.ModelSettings(trees=5, logistic_iterations=20, svm_iterations=10)
+    df = _clusters(spark)
+    model, table = mo.grid_search(df, ["a", "b"], grid, name, folds=2, s=s)
+    rows = table.collect()
+    assert len(rows) == len(next(iter(grid.values()))) and sum(r.best for r in rows) == 1
+    best = max(rows, key=lambda r: r.cv_f1)
+    train, test = mo.split(df)
+    assert best.best and best.test_f1 == pytest.approx(mo.evaluate(name, model, test).first().f1_score, abs=1e-6)
+    if name == "isolation_forest":  # each line is the score of its own setting
+        for r, c in zip(rows, grid["contamination"]):
+            f1 = mo.fold_scores(train, ["a", "b"], (name,), 2, replace(s, contamination=c)).first().cv_f1
+            assert r.params == f"contamination={c}" and r.cv_f1 == pytest.approx(f1)
+        with pytest.raises(ValueError, match="no parameter"):
+            mo.grid_search(df, ["a", "b"], {"maxDepth": [3]}, name)
+
+
+def test_report_shows_folds_of_classifiers(spark):
+    s = mo.ModelSettings(trees=5, enabled=("random_forest", "isolation_forest"))
+    table = mo.train_all(_clusters(spark), ["a", "b"], s, folds=2)[1]
+    lines = {r.model: r.line for r in me.text_report(table).collect()}
+    assert ", cv 0.9" in lines["random_forest"] or ", cv 1.0" in lines["random_forest"]
+    assert "cv" not in lines["isolation_forest"] and lines["isolation_forest"].startswith("isolation_forest: accuracy")
