@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlantern.llm import toxicity
 
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     settings = toxicity.Settings()
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held), settings)
     return (toxicity.score(docs.select("doc_id", "text"), model)

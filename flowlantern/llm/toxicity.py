@@ -205,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
-    """Adds ``column``: between 0 and 1, higher is likelier toxic."""
+    """Adds ``column``: between 0 and 1, higher is likelier toxic. A column of that name is replaced; all others pass untouched."""
+    if column.lower() == text.lower():
+        raise ValueError(f"the score can't replace the text column {text}")
+    docs = docs.drop(column)
     schema = docs.withColumn(column, F.lit(0.0)).schema
 
     def run(batches):
