@@ -29,63 +29,77 @@ def idle_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DE
 
 _KEY = ["flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 _KEY_DDL = "flow_key string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
-_STATE = (
+_FLOW_DDL = (
     "flow_pid bigint, start_us bigint, end_us bigint, packet_count bigint, byte_count bigint, iat_sq double, size_sq double, "
     "min_packet_size int, max_packet_size int, flag_counts array<bigint>, label int"
 )
+_OUT = f"{_KEY_DDL}, {_FLOW_DDL}"
+_NAMES = [c.split(" ")[0] for c in _OUT.split(", ")]
+# the open flows of a bucket, one array per column; due_ms is the time a flow's timer goes off
+_STATE = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split(" ") for c in f"{_OUT}, due_ms bigint".split(", ")))
 
 
-def full_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS) -> DataFrame:
+def full_flows(stream: DataFrame, delay: str = "30 seconds", th: Thresholds = DEFAULTS, buckets: int = 256) -> DataFrame:
     """Flows by the full rule (idle, 60 s, 1001 packets), with all batch features. A flow comes out on the packet that
     closes it, or once the watermark is past its idle time. State per open flow is a few numbers; the sums of squares
     give the deviations.
 
     Rows of one micro-batch are put in time order per key; a row that arrives late in a later batch joins the open
     flow without moving its end back.
+
+    The open flows of a hash bucket of keys are one state entry. Most keys have a packet or two, so a group per key would cost a call of
+    Python for nearly every packet; ``buckets`` bounds the calls of a batch, whatever the number of keys.
     """
     idle, active, most = th.flow_idle_us, th.flow_active_us, th.flow_max_packets
+    width = len(_KEY)
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, tcp = [], key[5] == "TCP"
-        cur = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            out.append((*key, *cur))
+    def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, now = [], state.getCurrentWatermarkMs()
+        flows = {tuple(r[:width]): [list(r[width:-1]), r[-1]] for r in zip(*state.get)} if state.exists else {}
+        touched, rows = {}, []
+        for p in () if state.hasTimedOut else batches:
+            keys = zip(*[p[c].astype(object).where(p[c].notna(), None).tolist() for c in _KEY])
+            rows += zip(p["ts_us"].tolist(), p["pid"].tolist(), p["packet_size"].tolist(), p["flags"].tolist(), p["label"].tolist(), keys)
+        rows.sort(key=lambda r: r[:5])
+        for t, pid, size, flags, label, key in rows:
+            cur = touched[key] if key in touched else flows.get(key, (None,))[0]
+            if cur is not None and t - cur[2] > idle:
+                out.append((*key, *cur))
+                cur = None
+            if cur is None:
+                cur = [pid, t, t, 0, 0, 0.0, 0.0, size, size, [0] * len(FLAGS), 0]
+            gap = max(t - cur[2], 0) / 1e6
+            cur[2] = max(t, cur[2])
+            cur[3] += 1
+            cur[4] += size
+            cur[5] += gap * gap
+            cur[6] += float(size) * size
+            cur[7], cur[8] = min(cur[7], size), max(cur[8], size)
+            if key[5] == "TCP":
+                cur[9] = [n + (x in flags) for n, x in zip(cur[9], FLAGS)]
+            cur[10] = max(cur[10], label)
+            if cur[2] - cur[1] > active or cur[3] > most:
+                out.append((*key, *cur))
+                cur = None
+            touched[key] = cur
+        # a flow that got rows in this batch has its timer set anew; of the others those come out whose time is over
+        held = [(*key, *cur, due) for key, (cur, due) in flows.items() if key not in touched and due >= now]
+        out += [(*key, *cur) for key, (cur, due) in flows.items() if key not in touched and due < now]
+        held += [(*key, *cur, max(cur[2] // 1000 + idle // 1000 + 1, now + 1)) for key, cur in touched.items() if cur is not None]
+        if held:
+            state.update(tuple(map(list, zip(*held))))
+            state.setTimeoutTimestamp(max(min(r[-1] for r in held), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = sorted(r for p in batches for r in zip(
-                p["ts_us"].tolist(), p["pid"].tolist(), p["packet_size"].tolist(), p["flags"].tolist(), p["label"].tolist()))
-            for t, pid, size, flags, label in rows:
-                if cur is not None and t - cur[2] > idle:
-                    out.append((*key, *cur))
-                    cur = None
-                if cur is None:
-                    cur = [pid, t, t, 0, 0, 0.0, 0.0, size, size, [0] * len(FLAGS), 0]
-                gap = max(t - cur[2], 0) / 1e6
-                cur[2] = max(t, cur[2])
-                cur[3] += 1
-                cur[4] += size
-                cur[5] += gap * gap
-                cur[6] += float(size) * size
-                cur[7], cur[8] = min(cur[7], size), max(cur[8], size)
-                if tcp:
-                    cur[9] = [n + (x in flags) for n, x in zip(cur[9], FLAGS)]
-                cur[10] = max(cur[10], label)
-                if cur[2] - cur[1] > active or cur[3] > most:
-                    out.append((*key, *cur))
-                    cur = None
-            if cur is not None:
-                state.update(tuple(cur))
-                state.setTimeoutTimestamp(max(cur[2] // 1000 + idle // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in f"{_KEY_DDL}, {_STATE}".split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES)
 
     rows = stream.withWatermark("ts", delay).select(
         "ts", "ts_us", "pid", "packet_size", "flags", F.col("label") if "label" in stream.columns else F.lit(0).alias("label"),
         net.flow_key().alias("flow_key"), "src_ip", "dst_ip",
         *[net.port_or_zero(F.col(c)).alias(c) for c in ("src_port", "dst_port")], F.upper("protocol").alias("protocol"))
-    raw = rows.groupBy(*_KEY).applyInPandasWithState(
-        run, f"{_KEY_DDL}, {_STATE}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    raw = rows.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(
+        run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     n, dur = F.col("packet_count"), (F.col("end_us") - F.col("start_us")) / SECOND
     sd = lambda sq, total: F.when(n > 1, F.sqrt(F.greatest((sq - total * total / n) / (n - 1), F.lit(0.0)))).otherwise(0.0)
     fwd, zero = net.is_forward(), F.lit(0).cast("bigint")

@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 import pytest
-from helpers import S, T0, packet, packets
+from helpers import S, T0, packet, packets, sequential_flows
 
 from flowlantern.operators import notify as no, rules as ru, windows as win
 from flowlantern.session import scratch_path
@@ -119,3 +119,27 @@ def test_delivery_retries(spark, failures, success, retries):
 
     r = sa.deliver(no.fan_out(df, [no.Channel("console")]), send).collect()
     assert [(x.success, x.retry_count, x.error) for x in r] == [(success, retries, None if success else "down")]
+
+
+def test_flows_of_many_keys_share_buckets(spark):
+    """The open flows of all keys of a bucket are one state; the result is that of one pass over each key."""
+    rows, keys = [], 40
+    for i in range(1200):
+        k = i * 7 % keys
+        rows.append(packet(i, i * S // 4 + (70 * S if i > 600 and k % 3 == 0 else 0), src=f"10.0.0.{k}", sport=None if k % 5 == 0 else k,
+                           proto="ICMP" if k % 5 == 0 else "TCP", size=100 + i % 9))
+    rows = sorted(rows, key=lambda r: r[1])
+    want = {}
+    for pid, first in sequential_flows([(r[2], r[1], r[0]) for r in rows]).items():
+        want.setdefault(first, []).append(pid)
+    seen = []
+    for buckets in (1, 5):
+        feed, out, ckpt = (scratch_path(spark, n) for n in ("feed", "out", "ckpt"))
+        for at in range(0, len(rows), 400):
+            packets(spark, rows[at:at + 400]).coalesce(1).write.mode("append").parquet(feed)
+        packets(spark, [packet(9999, 90_000 * S, src="10.9.9.9")]).coalesce(1).write.mode("append").parquet(feed)
+        stream = sf.full_flows(readers.stream_packets(spark, feed, files_per_trigger=1), buckets=buckets)
+        got = _run(spark, stream, out, ckpt).where("src_ip <> '10.9.9.9'").collect()
+        assert {r.flow_pid: r.packet_count for r in got} == {first: len(pids) for first, pids in want.items()} and len(got) == len(want)
+        seen.append(sorted(map(str, got)))
+    assert seen[0] == seen[1]
