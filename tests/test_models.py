@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlantern.operators import models as mo
 from flowlantern.operators.iforest import fit_isolation_forest
-from flowlantern.operators.kernel import fit_kernel_svc, fit_one_class_svm
+from flowlantern.operators.kernel import _packed, added, blocks, fit_kernel_svc, fit_one_class_svm
 from flowlantern.session import scratch_path
 
 FEATURES = ["a", "b"]
@@ -81,3 +82,12 @@ def test_confidence_of_one_class_models_is_inverted(cloud):
     p = mo.predict("isolation_forest", model, cloud)
     assert p.where("prediction = 1 AND model_confidence <= 0.5").count() == 0
     assert p.where("prediction = 0 AND model_confidence > 0.5").count() == 0
+
+
+def test_sums_of_many_tasks_are_added_in_groups(spark, many_partitions):
+    df = spark.range(0, 3000, numPartitions=90).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") > 0, 1).alias("b"))
+    packed = blocks(df, ["a", "b"])
+    parts = packed.mapInArrow(lambda it: (_packed(np.nansum(np.frombuffer(v.as_buffer()).reshape(-1, 2), axis=0)) for b in it for v in b.column(0)),
+                              "v binary")
+    assert added(parts, 90).tolist() == added(parts, 1).tolist() == [2999 * 1500.0, 2999.0]  # the null is NaN
+    assert added(parts.where("false"), 1) is None
