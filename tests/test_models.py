@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlantern.operators import models as mo
-from flowlantern.operators.iforest import fit_isolation_forest
+from flowlantern.operators.iforest import IsolationForestModel, _average_path, _grow, fit_isolation_forest
 from flowlantern.operators.kernel import _packed, added, blocks, fit_kernel_svc, fit_one_class_svm
 from flowlantern.session import scratch_path
 
@@ -84,6 +84,28 @@ def test_confidence_of_one_class_models_is_inverted(cloud):
     assert p.where("prediction = 0 AND model_confidence > 0.5").count() == 0
 
 
+def test_forest_scores_equal_a_plain_walk():
+    """All rows of a block go down together; each score is that of its own way, missing values go right."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 4))
+    x[::9, 1] = np.nan
+    names = ("feature", "split", "left", "right", "size")
+    grown = [_grow(x[~np.isnan(x[:, 1])][t::40], np.random.default_rng(t), 4) for t in range(6)] + [_grow(x[:1], rng, 4)]
+    model = IsolationForestModel([], [dict(zip(names, map(np.array, zip(*nodes)))) for nodes in grown], 16)
+
+    def length(nodes, row):
+        at, depth = 0, 0
+        while nodes[at][0] >= 0:
+            f, cut, left, right, _ = nodes[at]
+            at, depth = (left if row[f] <= cut else right), depth + 1
+        return depth + float(_average_path(nodes[at][4]))
+
+    want = [2.0 ** (-sum(length(nodes, row) for nodes in grown) / len(grown) / float(_average_path(16))) for row in x]
+    walk = model.walk()
+    assert np.allclose(model.scores(x, walk, block=128), want) and np.array_equal(model.scores(x), model.scores(x, walk, block=128))
+    assert "walk" not in model.__dict__ and model.scores(x[:0]).shape == (0,)
+
+
 def test_sums_of_many_tasks_are_added_in_groups(spark, many_partitions):
     df = spark.range(0, 3000, numPartitions=90).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") > 0, 1).alias("b"))
     packed = blocks(df, ["a", "b"])
