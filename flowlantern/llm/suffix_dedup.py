@@ -6,8 +6,8 @@ Suffixes are sorted where a repeat is possible only. Each window of SPAN bytes h
 hash; equal windows have equal anchors at the same offset. Documents are dealt to batches of bounded size, which ask in one exchange which
 anchors occur twice, and send the surroundings of those (168 bytes at most) to the bucket of the anchor's hash. A bucket sorts the texts
 after the anchors, and the reversed texts before them, by mergesort: a comparison finds the common extension of two suffixes by
-binary search over prefix polynomial hashes, so it takes logarithmic time. Common prefixes of sorted neighbours are verified byte by byte, and
-a collision repeats the sort with another base. Two windows are equal when they agree to the left and to the right of their anchors, so
+binary search over prefix polynomial hashes, so it takes logarithmic time. Of occurrences that are alike in all their bytes and windows only the
+first is sorted, the others repeat it. Common prefixes of sorted neighbours are verified byte by byte, and a collision repeats the sort with another base. Two windows are equal when they agree to the left and to the right of their anchors, so
 classes of both sorted orders name them, and all but the earliest of each name are repeats.
 
 Whole copies of a text would fill buckets with what is known: all but the first of equal texts are left out of the sort and lose all
@@ -32,6 +32,7 @@ from flowlantern.llm.graph import stored
 
 SPAN = 100
 KMER = 32
+CHUNK = 4096
 U = np.uint64
 _BLOCKS = "bucket int, b int, keys binary, before binary, after binary, many binary"
 _ANSWERS = "b int, keys binary, flags binary"
@@ -87,34 +88,51 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Suffixes:
-    """Rows of bytes (at most ``width`` each) with prefix polynomial hashes."""
+    """Rows of bytes (at most ``width`` each) as words of eight, the first byte highest, with prefix polynomial hashes of the words."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, step: int, base: int):
-        cols = starts[:, None] + step * np.arange(width)[None, :]
-        self.lengths = lengths
-        self.bytes = np.where(np.arange(width)[None, :] < lengths[:, None], text[np.clip(cols, 0, max(0, len(text) - 1))], 0).astype(np.uint8)
-        b = U(base)
-        power = np.multiply.accumulate(np.concatenate(([U(1)], np.full(width - 1, b, U))))
-        self.hash = np.zeros((len(starts), width + 1), U)
-        np.cumsum((self.bytes.astype(U) + U(1)) * power[None, :], axis=1, out=self.hash[:, 1:])
+        m, n = len(starts), -(-width // 8)
+        self.lengths, self.words, self.hash = lengths, np.zeros((m, n), U), np.zeros((m, n + 1), U)
+        power = np.multiply.accumulate(np.concatenate(([U(1)], np.full(n - 1, U(base), U))))
+        i = np.arange(8 * n)[None, :]
+        for lo in range(0, m, CHUNK):  # a row of places or products is some times as wide as what is kept
+            hi = min(lo + CHUNK, m)
+            at = np.clip(starts[lo:hi, None] + step * i, 0, max(0, len(text) - 1))
+            part = np.where(i < lengths[lo:hi, None], text[at], 0).astype(np.uint8)
+            self.words[lo:hi] = part.view(">u8")
+            np.cumsum(blocks.mix(self.words[lo:hi] + U(1)) * power[None, :], axis=1, out=self.hash[lo:hi, 1:])
+
+    def only(self, rows: np.ndarray) -> Suffixes:
+        out = object.__new__(Suffixes)
+        out.lengths, out.words, out.hash = self.lengths[rows], self.words[rows], self.hash[rows]
+        return out
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix, by binary search over the prefix hashes."""
-        lo, hi = np.zeros(len(x), np.int64), np.minimum(self.lengths[x], self.lengths[y])
+        n = self.words.shape[1]
+        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), n)
         while True:
             go = lo < hi
             if not go.any():
-                return lo
+                break
             mid = (lo + hi + 1) >> 1
             same = self.hash[x, mid] == self.hash[y, mid]
             lo, hi = np.where(go & same, mid, lo), np.where(go & ~same, mid - 1, hi)
+        # the equal leading bytes of the first word that differs
+        k = np.minimum(lo, n - 1)
+        rest = self.words[x, k] ^ self.words[y, k]
+        more = np.where(lo < n, 0, 8)
+        for half in (4, 2, 1):
+            zero = rest >> U(64 - 8 * half) == 0
+            more = np.where(zero & (lo < n), more + half, more)
+            rest = np.where(zero, rest << U(8 * half), rest)
+        return np.minimum(np.where(lo < n, 8 * lo + more, 8 * n), np.minimum(self.lengths[x], self.lengths[y]))
 
     def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = self.common(x, y)
-        w = self.bytes.shape[1] - 1
         ended = n >= np.minimum(self.lengths[x], self.lengths[y])
-        k = np.minimum(n, w)
-        return np.where(ended, self.lengths[x] < self.lengths[y], self.bytes[x, k] < self.bytes[y, k])
+        k = np.minimum(n >> 3, self.words.shape[1] - 1)
+        return np.where(ended, self.lengths[x] < self.lengths[y], self.words[x, k] < self.words[y, k])
 
     def sort(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of the rows within their groups (rows of a group are neighbours), and common prefixes with the row before (-1: new group)."""
@@ -157,14 +175,35 @@ class Suffixes:
 
     def verified(self, order: np.ndarray, lcp: np.ndarray) -> bool:
         """Do the common prefixes hold byte by byte?"""
-        for lo in range(0, len(order), 20000):
-            k = np.arange(max(1, lo), min(len(order), lo + 20000))
+        for lo in range(0, len(order), CHUNK):
+            k = np.arange(max(1, lo), min(len(order), lo + CHUNK))
             k = k[lcp[k] > 0]
-            same = self.bytes[order[k - 1]] == self.bytes[order[k]]
-            if not (same | (np.arange(same.shape[1])[None, :] >= lcp[k][:, None])).all():
+            if not self.agree(order[k - 1], order[k], lcp[k]):
                 return False
         return True
 
+    def agree(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> bool:
+        """Are the first ``n`` bytes of all rows x and y the same?"""
+        differ = self.words[x] ^ self.words[y]
+        left = np.clip(n[:, None] - 8 * np.arange(differ.shape[1])[None, :], 0, 8)  # bytes of each word that count
+        return not (differ >> (8 * (8 - np.maximum(left, 1))).astype(U))[left > 0].any()
+
+
+def _twins(keys, left, right, low, high, after: Suffixes, before: Suffixes) -> np.ndarray | None:
+    """The first row with the key, windows and bytes of each row; None where hashes collide."""
+    code = blocks.mix(keys + blocks.BASE * after.hash[:, -1])
+    code = blocks.mix(code * blocks.BASE + before.hash[:, -1])
+    code = blocks.mix(code * blocks.BASE + ((left << 24) | (right << 16) | (low << 8) | high).astype(U))
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    twin = first[number]
+    if not all((v == v[twin]).all() for v in (keys, left, right, low, high)):
+        return None
+    for lo in range(0, len(keys), CHUNK):
+        x, y = np.arange(lo, min(len(keys), lo + CHUNK)), twin[lo:lo + CHUNK]
+        if not ((after.words[x] == after.words[y]).all() and (before.words[x] == before.words[y]).all()):
+            return None
+    return twin
+
 
 def repeats(keys, ids, places, left, right, low, high, text, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of anchors sorted by (key, id, place): which have a repeated window, and the first and the end byte covered.
@@ -174,19 +213,25 @@ def repeats(keys, ids, places, left, right, low, high, text, starts) -> tuple[np
     """
     reach = SPAN - KMER
     for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
-        after = Suffixes(text, starts, right, SPAN, 1, base)
-        o1, l1 = after.sort(keys)
-        before = Suffixes(text, starts - 1, left, reach, -1, base)
-        o2, l2 = before.sort(keys)
+        after, before = Suffixes(text, starts, right, SPAN, 1, base), Suffixes(text, starts - 1, left, reach, -1, base)
+        twin = _twins(keys, left, right, low, high, after, before)
+        if twin is None:
+            continue
+        # later rows that are wholly like an earlier one repeat all its windows: one of each kind is sorted
+        own = np.flatnonzero(twin == np.arange(len(keys)))
+        after, before = after.only(own), before.only(own)
+        o1, l1 = after.sort(keys[own])
+        o2, l2 = before.sort(keys[own])
         if after.verified(o1, l1) and before.verified(o2, l2):
             break
     else:
         raise ValueError("prefix hashes collide under every base")
-    m = len(keys)
+    m = len(own)
+    near, far = low[own], high[own]
     first, last = np.full(m, 1 << 30), np.full(m, -1)
     name1, name2 = np.empty(m, np.int64), np.empty(m, np.int64)
     for j in range(reach + 1):
-        at = np.flatnonzero((low <= j) & (j <= high))
+        at = np.flatnonzero((near <= j) & (j <= far))
         if not len(at):
             continue
         name1[o1] = np.cumsum(l1 < SPAN - j)
@@ -197,8 +242,9 @@ def repeats(keys, ids, places, left, right, low, high, text, starts) -> tuple[np
         again = at[order[1:][ranked[1:] == ranked[:-1]]]
         first[again] = np.minimum(first[again], j)
         last[again] = np.maximum(last[again], j)
-    hit = last >= 0
-    return hit, places - last, places - first + SPAN
+    least, most = low.copy(), high.copy()  # of a row like an earlier one; those of the sorted rows follow
+    least[own], most[own] = first, last
+    return most >= 0, places - most, places - least + SPAN
 
 
 def _pack(values, cuts):
@@ -206,7 +252,7 @@ def _pack(values, cuts):
 
 
 def _sorted_bucket(group: pa.Table) -> pa.Table:
-    get = lambda c, t: [np.frombuffer(x, t) for x in group.column(c).to_pylist()]
+    get = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in group.column(c)]
     part = get("keys", U)
     b = np.repeat(np.array(group.column("b").to_pylist()), [len(x) for x in part])
     keys, ids, rows, places = np.concatenate(part), *(np.concatenate(get(c, np.int64)) for c in ("ids", "rows", "places"))
