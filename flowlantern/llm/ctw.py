@@ -167,26 +167,52 @@ def _totals(group):
     return _counted(np.concatenate(part), np.concatenate([unpacked(x, m, np.int32) for x, m in zip(group.column("counts").to_pylist(), n)])), part
 
 
-def _dealt(table, n: int):
-    """For words and for codes of a batch: rising distinct keys, training counts, the places of each bucket's keys, and for each
-    slice of texts their offsets, distinct keys and the place of every key among these."""
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct keys and how often each occurs. The keys are sorted without their places, several times as fast as with them."""
+    k = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[:len(k)])
+    return k[first], np.diff(np.append(first, len(k)))
+
+
+def _cuts(k: np.ndarray, n: int, kind: int) -> dict[int, np.ndarray]:
+    """The places of each bucket's keys."""
+    bucket = ((k >> U(32) if kind == 0 else blocks.mix(k >> U(8 * (DEPTH - 1)))) % U(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, at = np.unique(bucket[order], return_index=True)
+    return dict(zip(own.tolist(), (order[x:y] for x, y in zip(at, np.append(at[1:], len(order))))))
+
+
+def _asked(table, n: int):
+    """For words and for codes of a batch: rising distinct keys, training counts, the places of each bucket's keys."""
     for kind, find in enumerate((word_keys, codes)):
-        found, texts = [(np.zeros(0, U), np.zeros(0, np.int64))], []
+        taught, others = [], [np.zeros(0, U)]
         for _, _, data, offsets, take in _slices(table):
+            k, at = find(data, offsets)
+            learnt = np.repeat(take, np.diff(at))
+            taught.append(_distinct(k[learnt]))
+            others.append(_distinct(k[~learnt])[0])
+        k, _ = _distinct(np.concatenate([x for x, _ in taught] + others))
+        c = np.zeros(len(k), np.int64)
+        for own, count in taught:
+            c[np.searchsorted(k, own)] += count
+        yield k, c, _cuts(k, n, kind)
+
+
+def _placed(table, n: int):
+    """For words and for codes of a batch: rising distinct keys, the places of each bucket's keys, and for each slice of texts
+    their offsets, distinct keys and the place of every key among these."""
+    for kind, find in enumerate((word_keys, codes)):
+        texts = []
+        for _, _, data, offsets, _ in _slices(table):
             k, at = find(data, offsets)
             order = np.argsort(k)
             k = k[order]
             new = np.concatenate(([True], k[1:] != k[:-1]))[:len(k)]
             place = np.empty(len(k), np.int32)
             place[order] = np.cumsum(new, dtype=np.int32) - 1
-            own = k[new]
-            found.append((own, np.bincount(place, np.repeat(take, np.diff(at)), len(own)).astype(np.int64)))
-            texts.append((at, own, place))
-        k, c = _counted(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
-        bucket = ((k >> U(32) if kind == 0 else blocks.mix(k >> U(8 * (DEPTH - 1)))) % U(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        own, at = np.unique(bucket[order], return_index=True)
-        yield k, c, dict(zip(own.tolist(), (order[x:y] for x, y in zip(at, np.append(at[1:], len(order)))))), texts
+            texts.append((at, k[new], place))
+        k, _ = _distinct(np.concatenate([np.zeros(0, U), *(own for _, own, _ in texts)]))
+        yield k, _cuts(k, n, kind), texts
 
 
 def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -198,7 +224,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
 
     def ask(key, table):
         out = []
-        for kind, (k, c, cuts, _) in enumerate(_dealt(table, n)):
+        for kind, (k, c, cuts) in enumerate(_asked(table, n)):
             out.append(pa.table({
                 "kind": pa.array([kind] * len(cuts), pa.int32()), "bucket": pa.array(list(cuts), pa.int32()),
                 "b": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "n": pa.array([len(x) for x in cuts.values()], pa.int32()),
@@ -251,7 +277,7 @@ def scored(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     def finish(key, table, known):
         told = {(k, x): (v, m) for k, x, v, m in zip(*(known.column(c).to_pylist() for c in ("kind", "bucket", "values", "n")))}
         look = []
-        for kind, (k, _, cuts, texts) in enumerate(_dealt(table, n)):
+        for kind, (k, cuts, texts) in enumerate(_placed(table, n)):
             v = np.zeros(len(k))
             for x, at in cuts.items():
                 v[at] = unpacked(*told[kind, x], (np.int64, np.float32)[kind])
