@@ -41,7 +41,7 @@ def test_marks_come_back_to_the_keys_asked():
     shared = np.unique(rng.integers(1, 1 << 63, 500).astype(U))
     own = [np.unique(np.concatenate((shared[::2 + b], rng.integers(1, 1 << 63, 900).astype(U)))) for b in range(3)]
     several = [rng.random(len(k)) < 0.1 for k in own]  # keys that two documents of the same batch have
-    asked = pa.concat_tables([debruijn._deal(b, 7, k, m) for b, (k, m) in enumerate(zip(own, several))])
+    asked = pa.concat_tables([debruijn._deal(b, 7, k, m, short=True) for b, (k, m) in enumerate(zip(own, several))])
     assert sum(len(x) for x in asked.column("keys").to_pylist()) == 4 * sum(map(len, own))
     answers = pa.concat_tables([debruijn._mark(asked.filter(pa.compute.equal(asked.column("bucket"), x))) for x in range(7)])
     everywhere, times = np.unique(np.concatenate(own), return_counts=True)
@@ -56,7 +56,7 @@ def test_marks_come_back_to_the_keys_asked():
 
 def test_halves_that_clash_only_mark_more():
     keys = np.array([(1 << 32) + 5, (8 << 32) + 5, (1 << 32) + 6], U)  # the first two share a bucket of 7 and the lower half
-    asked = debruijn._deal(0, 7, np.sort(keys), np.zeros(3, bool))
+    asked = debruijn._deal(0, 7, np.sort(keys), np.zeros(3, bool), short=True)
     assert np.array_equal(debruijn._marked(np.sort(keys), 7, debruijn._mark(asked)), np.sort(keys)[[0, 2]])
 
 
