@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20  # texts are handled in groups of about this size; a longer text is a group by itself
+FEW_BYTES = 512 << 10  # where hashes or ids of every byte are held, some eighty bytes for each
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +33,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow has no more use for goes back to the system after each, as a worker outlives its task and shares the executor's memory."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def slices(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each."""
     n, start = len(offsets) - 1, 0

@@ -98,6 +98,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 BLOCK = 1000
 FEW = 32
+STRIP = 256  # rows of the matrix of common shingles that are counted at once
 
 
 def labelled(sh: np.ndarray) -> np.ndarray:
@@ -130,15 +131,14 @@ def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY)
         if not len(at):
             break
         np.add.at(common, (r[at], r[at + k]), 1)
-    common += common.T
     often, c = np.unique(col[~rare], return_inverse=True)  # at most one in FEW of all entries: products of dense blocks
     r = row[~rare]
     for lo in range(0, len(often), 1024):
         here = (c >= lo) & (c < lo + 1024)
         x = np.zeros((len(seqs), min(1024, len(often) - lo)), np.float32)
         x[r[here], c[here] - lo] = 1
-        common += x @ x.T
-    may = (common >= least * (n[:, None] + n[None, :] - common) - 1e-3) & (roots[:, None] != roots[None, :])
+        for i in range(0, len(seqs), STRIP):  # only pairs (i, j > i) are read
+            common[i:i + STRIP, i:] += x[i:i + STRIP] @ x[i:].T
     # a pair that is connected already adds nothing to the classes
     parent = list(range(int(roots.max()) + 1))
 
@@ -150,7 +150,9 @@ def linked(seqs: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY)
 
     out = []
     for i in range(len(seqs)):
-        for j in np.flatnonzero(may[i, i + 1:]).tolist():
+        both = common[i, i + 1:]
+        may = (both >= least * (n[i] + n[i + 1:] - both) - 1e-3) & (roots[i] != roots[i + 1:])
+        for j in np.flatnonzero(may).tolist():
             a, b = top(int(roots[i])), top(int(roots[i + 1 + j]))
             if a != b and aligned(seqs[i], seqs[i + 1 + j], least) > 0:
                 parent[a] = b
@@ -188,7 +190,7 @@ _NODES = "doc_id long, node binary, sketch array<long>"
 def _hashed(batch, text: str):
     """Per row the hashes of its words."""
     data, offsets = blocks.utf8(batch.column(batch.schema.get_field_index(text)))
-    for lo, hi in blocks.slices(offsets):
+    for lo, hi in blocks.slices(offsets, blocks.FEW_BYTES):
         at = offsets[lo:hi + 1] - offsets[lo]
         part = data[offsets[lo]:offsets[hi]]
         s, e, first = blocks.words(part, at)
@@ -211,7 +213,7 @@ def _node(w: np.ndarray) -> bytes | None:
 def sketches(docs: DataFrame, text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, node (128 bits of the words; null without words), sketch, and ``more`` string columns as they are."""
     def run(batches):
-        for batch in batches:
+        for batch in blocks.freed(batches):
             nodes, values = [], []
             for w in _hashed(batch, text):
                 nodes.append(_node(w))
@@ -227,7 +229,7 @@ def sketches(docs: DataFrame, text: str = "text", more: tuple[str, ...] = ()) ->
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     """node, doc_id, text."""
     def run(batches):
-        for batch in batches:
+        for batch in blocks.freed(batches):
             nodes = [_node(w) for w in _hashed(batch, text)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
@@ -245,10 +247,8 @@ def _aligned_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"))
 
     def run(batches):
-        for batch in batches:
-            sa = [shingles(w) for w in _hashed(batch, "ta")]
-            sb = [shingles(w) for w in _hashed(batch, "tb")]
-            ok = pa.array([aligned(x, y) > 0 for x, y in zip(sa, sb)], pa.bool_())
+        for batch in blocks.freed(batches):
+            ok = pa.array([aligned(shingles(x), shingles(y)) > 0 for x, y in zip(_hashed(batch, "ta"), _hashed(batch, "tb"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
     return left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")

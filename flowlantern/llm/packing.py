@@ -108,7 +108,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, text: st
     groups = max(1, -(-docs.count() // GROUP))
 
     def encode(batches):
-        for batch in batches:
+        for batch in blocks.freed(batches):
             ids, sizes = [], []
             for lo, hi, i, at in tokens.batches(batch.column(1), tokenizer, end):
                 ids.extend(i[at[k]:at[k + 1]].astype("<u4").tobytes() for k in range(hi - lo))

@@ -98,15 +98,14 @@ class Encoder:
         if not known.all():
             if len(self.keys) > CACHE:
                 self._clear()
-                known[:] = False
+                known[:], at[:] = False, 0
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             found, sizes = self._new([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            keys_ = np.concatenate([self.keys, distinct[new]])
-            starts_ = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.uint32)])
-            order = np.argsort(keys_)
-            self.keys, self.starts = keys_[order], starts_[order]
-            self.sizes = np.concatenate([self.sizes, sizes.astype(np.uint32)])[order]
+            where = at[new]  # both are in order, so nothing is sorted again
+            self.keys = np.insert(self.keys, where, distinct[new])
+            self.starts = np.insert(self.starts, where, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.uint32))
+            self.sizes = np.insert(self.sizes, where, sizes.astype(np.uint32))
             self.ids = np.concatenate([self.ids, found])
             at = np.searchsorted(self.keys, distinct)
         sizes = self.sizes[at].astype(np.int64)[back]
@@ -136,6 +135,6 @@ def batches(column, path: str, end: int):
     """(first row, last row, ids, offsets) for groups of rows of a text column; the end id is appended to each text."""
     data, offsets = blocks.utf8(column)
     enc = encoder(path)
-    for lo, hi in blocks.slices(offsets):
+    for lo, hi in blocks.slices(offsets, blocks.FEW_BYTES):
         ids, at = enc.encode(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         yield lo, hi, *with_end(ids, at, end)

@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", text: str = "tex
 
     def run(batches):
         ct, co = _compressor(model.toxic, model.level), _compressor(model.ordinary, model.level)
-        for batch in batches:
+        for batch in blocks.freed(batches):
             data, offsets = blocks.utf8(batch.column(batch.schema.get_field_index(text)))
             out = np.zeros(batch.num_rows)
             for a, b in blocks.slices(offsets):
