@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowlantern.operators import kernel, models as mo
@@ -47,3 +48,11 @@ def test_smoothed_hinge_has_its_optimality():
     value, xi, rest = kernel.smoothed_hinge(slack, mu)
     assert np.allclose(mu / xi + mu / rest, 1) and np.allclose(xi - rest, slack)
     assert np.allclose(value, xi - mu * np.log(xi) - mu * np.log(rest))
+
+
+def test_blocks_are_worked_on_in_slices(spark):
+    df = spark.range(5000).coalesce(1).selectExpr("cast(id as double) a", "cast(id % 3 as double) b")
+    packed = pa.chunked_array([pa.array([r.v for r in kernel.blocks(df, ["a", "b"]).collect()], pa.binary())]).combine_chunks()
+    parts = list(kernel.slices(packed, 2))
+    assert max(len(p) for p in parts) == kernel.SLICE and np.concatenate(parts)[:, 0].tolist() == list(range(5000))
+    assert np.concatenate([y for _, y in kernel.labelled_rows(packed, ["a"])]).tolist() == [i % 3 for i in range(5000)]
